@@ -2,3 +2,4 @@
 
 import catalogue.star  # noqa: F401  isort: skip
 import catalogue.business  # noqa: F401
+import catalogue.governed  # noqa: F401
