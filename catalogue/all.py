@@ -3,3 +3,6 @@
 import catalogue.star  # noqa: F401  isort: skip
 import catalogue.business  # noqa: F401
 import catalogue.governed  # noqa: F401
+import catalogue.dashboard  # noqa: F401
+import catalogue.channels  # noqa: F401
+import catalogue.mixes  # noqa: F401

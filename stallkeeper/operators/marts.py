@@ -45,12 +45,19 @@ ITEM_SUMS = (
 )
 
 
-def item_measures(fact_items: DataFrame, by: list[str | Column], extra: list[str] | None = None) -> DataFrame:
-    """Measures of eligible items per ``by``, with exact distinct orders (all and financially valid)."""
+def item_measures(
+    fact_items: DataFrame, by: list[str | Column], extra: list[str] | None = None, orders: bool = True
+) -> DataFrame:
+    """Measures of eligible items per ``by``, with exact distinct orders (all and financially valid).
+
+    ``orders=False`` leaves the order counts out and needs only one small shuffle.
+    """
     names = ["_k%d" % i for i in range(len(by))]
     keyed = eligible(fact_items).withColumns(
         {n: (F.col(b) if isinstance(b, str) else b) for n, b in zip(names, by)}
     )
+    if not orders:
+        return keyed.groupBy(*names).agg(*item_sums())
     per_order = keyed.groupBy(*names, "order_id", *(extra or [])).agg(*item_sums())
     distinct = [F.count_distinct(F.col(c)).alias(f"distinct_{c}") for c in (extra or [])]
     return per_order.groupBy(*names).agg(

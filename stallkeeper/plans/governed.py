@@ -137,7 +137,7 @@ def whale_economics(ltv: DataFrame, share: float = 0.05, segment: str = "whale")
 
 
 def regional_performance(fact_items: DataFrame, fact_orders: DataFrame) -> DataFrame:
-    money = item_measures(fact_items, ["region"]).withColumnRenamed("_k0", "region")
+    money = item_measures(fact_items, ["region"], orders=False).withColumnRenamed("_k0", "region")
     orders = eligible_order_counts(fact_orders, F.col("region"), "region")
     joined = money.join(orders, "region")
     return share_of_total(joined, "net_gmv_cents", "net_gmv_share").select(
