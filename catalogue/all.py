@@ -6,3 +6,4 @@ import catalogue.governed  # noqa: F401
 import catalogue.dashboard  # noqa: F401
 import catalogue.channels  # noqa: F401
 import catalogue.mixes  # noqa: F401
+import catalogue.faults  # noqa: F401

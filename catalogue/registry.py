@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catalogue import testbed as tb
 from catalogue.sqlbase import sql as assemble
+from stallkeeper.operators.faults import dirty_marketplace
 from stallkeeper.plans.gold import Gold
+from stallkeeper.plans.silver import silver
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +33,23 @@ class Market:
     def gold(self) -> Gold:
         return Gold(self.clean, tb.AS_OF)
 
+    @cached_property
+    def faulty(self) -> dict:
+        return dirty_marketplace(self.clean)
+
+    @cached_property
+    def raw(self) -> dict[str, DataFrame]:
+        """What arrives: faulty copies of six tables, the rest as they are."""
+        return {n: self.faulty[n][0] if n in self.faulty else self.clean[n] for n in self.clean}
+
+    @cached_property
+    def silver(self) -> dict[str, DataFrame]:
+        return silver(self.raw)
+
+    @cached_property
+    def repaired(self) -> Gold:
+        return Gold(self.silver, tb.AS_OF)
+
 
 def register(name: str, run: Callable[[Market], DataFrame], sql: str | None = None) -> None:
     if name in QUERIES:
