@@ -7,3 +7,4 @@ import catalogue.dashboard  # noqa: F401
 import catalogue.channels  # noqa: F401
 import catalogue.mixes  # noqa: F401
 import catalogue.faults  # noqa: F401
+import catalogue.checks  # noqa: F401

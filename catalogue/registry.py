@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catalogue import testbed as tb
 from catalogue.sqlbase import sql as assemble
-from stallkeeper.operators.faults import dirty_marketplace
+from stallkeeper.operators.faults import DIRTY_TABLES, dirty_table
 from stallkeeper.plans.gold import Gold
-from stallkeeper.plans.silver import silver
+from stallkeeper.plans.silver import BUILDERS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,24 +27,24 @@ class Market:
 
     @cached_property
     def clean(self) -> Mapping[str, DataFrame]:
-        return tb.LazyTables(self.bed, self.bed.ENTITIES)
+        return tb.LazyTables(self.bed.ENTITIES, lambda n: getattr(self.bed, n))
 
     @cached_property
     def gold(self) -> Gold:
         return Gold(self.clean, tb.AS_OF)
 
     @cached_property
-    def faulty(self) -> dict:
-        return dirty_marketplace(self.clean)
+    def faulty(self) -> Mapping:
+        return tb.LazyTables(DIRTY_TABLES, lambda n: dirty_table(n, self.clean[n]))
 
     @cached_property
-    def raw(self) -> dict[str, DataFrame]:
+    def raw(self) -> Mapping[str, DataFrame]:
         """What arrives: faulty copies of six tables, the rest as they are."""
-        return {n: self.faulty[n][0] if n in self.faulty else self.clean[n] for n in self.clean}
+        return tb.LazyTables(self.bed.ENTITIES, lambda n: self.faulty[n][0] if n in DIRTY_TABLES else self.clean[n])
 
     @cached_property
-    def silver(self) -> dict[str, DataFrame]:
-        return silver(self.raw)
+    def silver(self) -> Mapping[str, DataFrame]:
+        return tb.LazyTables(self.bed.ENTITIES, lambda n: BUILDERS[n](self.raw[n]))
 
     @cached_property
     def repaired(self) -> Gold:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -329,15 +329,17 @@ class Testbed:
 
 
 class LazyTables(Mapping):
-    """Tables by entity name, built when first asked for."""
+    """Values by name, built when first asked for."""
 
-    def __init__(self, source: object, names: tuple[str, ...]):
-        self._source, self._names = source, names
+    def __init__(self, names: tuple[str, ...], build: Callable[[str], object]):
+        self._names, self._build, self._built = names, build, {}
 
-    def __getitem__(self, name: str) -> DataFrame:
+    def __getitem__(self, name: str):
         if name not in self._names:
             raise KeyError(name)
-        return getattr(self._source, name)
+        if name not in self._built:
+            self._built[name] = self._build(name)
+        return self._built[name]
 
     def __iter__(self):
         return iter(self._names)

@@ -255,8 +255,11 @@ class FaultPlan:
     renamed: Mapping[str, str] = field(default_factory=lambda: {"customer_external_id": "cust_ext_id"})
 
 
-def dirty_marketplace(tables: Mapping[str, DataFrame], plan: FaultPlan | None = None) -> dict[str, Faulty]:
-    """Faulty copies of six tables with their manifests; the other tables stay clean."""
+DIRTY_TABLES = ("customers", "orders", "order_items", "payments", "shipments", "reviews")
+
+
+def dirty_table(name: str, df: DataFrame, plan: FaultPlan | None = None) -> Faulty:
+    """A faulty copy of one table with its manifest."""
     p = plan or FaultPlan()
     steps = {
         "customers": [
@@ -300,14 +303,16 @@ def dirty_marketplace(tables: Mapping[str, DataFrame], plan: FaultPlan | None =
             lambda d: inject_orphans(d, p.orphans, "review_id", "product_id", "r-orph"),
         ],
     }
-    out = {}
-    for name, chain in steps.items():
-        df, logs = tables[name], []
-        for step in chain:
-            df, log = step(df)
-            logs.append(log)
-        out[name] = (df, _stack(logs).withColumn("table", F.lit(name)))
-    return out
+    logs = []
+    for step in steps[name]:
+        df, log = step(df)
+        logs.append(log)
+    return df, _stack(logs).withColumn("table", F.lit(name))
+
+
+def dirty_marketplace(tables: Mapping[str, DataFrame], plan: FaultPlan | None = None) -> dict[str, Faulty]:
+    """Faulty copies of six tables; the other tables stay clean."""
+    return {name: dirty_table(name, tables[name], plan) for name in DIRTY_TABLES}
 
 
 def manifest(faulty: Mapping[str, Faulty]) -> DataFrame:
