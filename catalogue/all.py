@@ -8,3 +8,4 @@ import catalogue.channels  # noqa: F401
 import catalogue.mixes  # noqa: F401
 import catalogue.faults  # noqa: F401
 import catalogue.checks  # noqa: F401
+import catalogue.churn  # noqa: F401
