@@ -9,3 +9,4 @@ import catalogue.mixes  # noqa: F401
 import catalogue.faults  # noqa: F401
 import catalogue.checks  # noqa: F401
 import catalogue.churn  # noqa: F401
+import catalogue.scores  # noqa: F401

@@ -293,8 +293,8 @@ def checked_tables(m: Market) -> tb.LazyTables:
     return tb.LazyTables(tuple(LAYERS), build)
 
 
-def violations(c) -> str:
-    t = LAYERS[c.table]
+def violations(c, layers: dict[str, str] = LAYERS) -> str:
+    t = layers[c.table]
     if c.kind == "not_null":
         return f"SELECT count(*) AS n FROM {t} WHERE {c.column} IS NULL"
     if c.kind == "accepted":
@@ -302,7 +302,7 @@ def violations(c) -> str:
     if c.kind == "unique":
         return f"SELECT count(*) AS n FROM (SELECT {c.column} FROM {t} WHERE {c.column} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"
     return (f"SELECT count(*) AS n FROM {t} a WHERE a.{c.column} IS NOT NULL AND NOT EXISTS "
-            f"(SELECT 1 FROM {LAYERS[c.to[0]]} b WHERE b.{c.to[1]} = a.{c.column})")
+            f"(SELECT 1 FROM {layers[c.to[0]]} b WHERE b.{c.to[1]} = a.{c.column})")
 
 
 def result_sql(name: str, table: str, severity: str, counted: str) -> str:
@@ -310,8 +310,12 @@ def result_sql(name: str, table: str, severity: str, counted: str) -> str:
             f"CASE WHEN n = 0 THEN 'pass' ELSE '{severity}' END AS status FROM ({counted})")
 
 
-def suite_sql(checks, extra: list[str] = []) -> str:
-    return " UNION ALL ".join([result_sql(c.name, c.table, c.severity, violations(c)) for c in checks] + extra)
+def rule_sql_for(checks, layers: dict[str, str], extra: list[str]) -> str:
+    return " UNION ALL ".join([result_sql(c.name, c.table, c.severity, violations(c, layers)) for c in checks] + extra)
+
+
+def suite_sql(checks, extra: list[str] | None = None) -> str:
+    return rule_sql_for(checks, LAYERS, extra or [])
 
 
 NO_DATES = [c for c in suite.gold_suite() if c.table != "dim_dates"]
