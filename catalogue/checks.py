@@ -46,7 +46,7 @@ SELECT * FROM (SELECT sum(gross_gmv_cents) AS gross, sum(net_gmv_cents) AS net,
     ]
     register(
         f"reconcile_market{suffix}",
-        lambda m, p=pick: reconcile.reconcile_market(getattr(m, p)),
+        lambda m, p=pick: reconcile.reconcile_market(getattr(m, f"{p}_stored")),
         " UNION ALL ".join(
             f"SELECT '{label}' AS label, {big(a)} AS left_value, {big(b)} AS right_value, "
             f"{big(f'abs(({a}) - ({b}))')} AS difference, abs(({a}) - ({b})) <= {tol} AS passed FROM {totals}"
@@ -55,7 +55,7 @@ SELECT * FROM (SELECT sum(gross_gmv_cents) AS gross, sum(net_gmv_cents) AS net,
     )
     register(
         f"spend_gap{suffix}",
-        lambda m, p=pick: reconcile.spend_gap(getattr(m, p)),
+        lambda m, p=pick: reconcile.spend_gap(getattr(m, f"{p}_stored")),
         f"""
 SELECT {usd('real_spend')} AS real_customer_spend, {usd('orphan_spend')} AS orphan_reconciliation_spend,
   {usd('platform')} AS platform_customer_spend, {usd('charged')} AS fact_order_customer_spend,
@@ -289,7 +289,7 @@ def checked_tables(m: Market) -> tb.LazyTables:
         layer, _, rest = name.partition("_")
         if layer in ("bronze", "silver"):
             return (m.raw if layer == "bronze" else m.silver)[rest]
-        return getattr(m.repaired, name)
+        return getattr(m.repaired_stored, name)
     return tb.LazyTables(tuple(LAYERS), build)
 
 
@@ -334,9 +334,9 @@ SPECIAL = [
 
 
 def special(m: Market):
+    g = m.repaired_stored
     return suite.special_checks(
-        m.repaired.mart_gmv_daily, m.silver["order_items"], m.silver["customers"], m.repaired.fact_orders,
-        m.repaired.dim_customers)
+        g.mart_gmv_daily, g.tables["order_items"], g.tables["customers"], g.fact_orders, g.dim_customers)
 
 
 register("checks_raw", lambda m: run_checks(checked_tables(m), suite.raw_suite()), suite_sql(suite.raw_suite()))

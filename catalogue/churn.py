@@ -114,7 +114,7 @@ for part, build in PARTS.items():
 
 
 def snapshots(m: Market):
-    return ft.build_snapshots(m.gold, DATES)
+    return ft.build_snapshots(m.gold_stored, DATES)
 
 
 def split(m: Market):
@@ -126,7 +126,7 @@ SPLIT = f"""SELECT *, CASE WHEN snapshot_date IN (DATE '{tb.TRAIN[0]}', DATE '{t
 register("churn_snapshots", split, SPLIT)
 register(
     "scoring_snapshot",
-    lambda m: ft.scoring_snapshot(m.gold, tb.SCORE),
+    lambda m: ft.scoring_snapshot(m.gold_stored, tb.SCORE),
     """SELECT * EXCLUDE (orders_in_prediction_window, churned, snapshot_date), snapshot_date AS score_date
 FROM score_snapshots""",
 )
@@ -168,7 +168,7 @@ register(
 
 
 def test_rows(m: Market):
-    return ft.build_snapshots(m.gold, [tb.TEST])
+    return ft.build_snapshots(m.gold_stored, [tb.TEST])
 
 
 def rule_sql(rules: dict[str, str], table: str) -> str:

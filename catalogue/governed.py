@@ -177,7 +177,7 @@ FROM (SELECT count(*) AS total_shipments, count(*) FILTER (delay_days = 0) AS on
 )
 register(
     "kpi_row",
-    lambda m: g.kpi_row(m.gold),
+    lambda m: g.kpi_row(m.gold_stored),
     f"""
 SELECT {usd('net')} AS net_gmv, charged AS customer_charged_amount, eligible_orders, real_customers,
   commission AS commission_revenue, {mean_usd('net', 'eligible_orders')} AS net_gmv_per_order, repeat_buyer_rate,

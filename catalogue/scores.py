@@ -54,11 +54,11 @@ FROM scored_test
 
 
 def scored_test(m: Market) -> DataFrame:
-    return cut_lineage(stand_in(ft.build_snapshots(m.gold, [tb.TEST])))
+    return cut_lineage(stand_in(ft.build_snapshots(m.gold_stored, [tb.TEST])))
 
 
 def scored_now(m: Market) -> DataFrame:
-    return cut_lineage(stand_in(ft.scoring_snapshot(m.gold, tb.SCORE)))
+    return cut_lineage(stand_in(ft.scoring_snapshot(m.gold_stored, tb.SCORE)))
 
 
 def score_table(m: Market) -> DataFrame:
@@ -329,7 +329,7 @@ def keep(m: Market, name: str, build):
 
 
 def stored(m: Market) -> DataFrame:
-    return keep(m, "snapshots", lambda: cut_lineage(ft.build_snapshots(m.gold, DATES)))
+    return keep(m, "snapshots", lambda: cut_lineage(ft.build_snapshots(m.gold_stored, DATES)))
 
 
 def trained(m: Market, family: str) -> ml.Trained:
@@ -363,5 +363,5 @@ register("model_selection", lambda m: ev.select_model(
 register("model_predictions", lambda m: ev.prediction_frame(
     test_scored(m, "behavioral"), MODEL_NAMES["behavioral"], trained(m, "behavioral").threshold))
 register("model_scores", lambda m: sc.score_output(
-    cut_lineage(ml.score(trained(m, "behavioral").pipeline, ft.scoring_snapshot(m.gold, tb.SCORE))), SCORED_AT))
+    cut_lineage(ml.score(trained(m, "behavioral").pipeline, ft.scoring_snapshot(m.gold_stored, tb.SCORE))), SCORED_AT))
 register("model_probability_violations", lambda m: ml.probability_violations(test_scored(m, "channel")))

@@ -127,7 +127,7 @@ def brier(scored: DataFrame) -> DataFrame:
 
 def top_fractions(scored: DataFrame, fractions: list[float], id_col: str = ID) -> DataFrame:
     """Precision, recall and lift of the highest-risk share of customers, one row per share."""
-    ranked = global_rank(scored.select(id_col, LABEL, PROBABILITY), PROBABILITY, id_col, "r")
+    ranked = global_rank(scored.select(id_col, LABEL, PROBABILITY), PROBABILITY, id_col, "r", stored=True)
     quota = [F.greatest(F.lit(1), F.ceil(F.col("r_n") * F.lit(f))) for f in fractions]
     sums = ranked.agg(
         F.count("*").alias("rows"),
@@ -168,7 +168,7 @@ def evaluate(scored: DataFrame, threshold: float) -> DataFrame:
 
 def prediction_frame(scored: DataFrame, model_name: str, threshold: float) -> DataFrame:
     """Auditable predictions; decile 10 holds the highest risk."""
-    ranked = global_rank(scored, PROBABILITY, ID, "r", descending=False)
+    ranked = global_rank(scored, PROBABILITY, ID, "r", descending=False, stored=True)
     return ranked.select(
         ID,
         SNAPSHOT,

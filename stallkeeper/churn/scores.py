@@ -20,8 +20,8 @@ HIGH_VALUE_QUANTILE = 0.80
 def qcut_deciles(
     df: DataFrame, score: str, id_col: str, out: str = "risk_decile", n: int = 10, descending: bool = True
 ) -> DataFrame:
-    """Evenly cut risk deciles; 1 is the highest score when ``descending``."""
-    ranked = global_rank(df, score, id_col, "_r", descending=descending)
+    """Evenly cut risk deciles of a stored frame; 1 is the highest score when ``descending``."""
+    ranked = global_rank(df, score, id_col, "_r", descending=descending, stored=True)
     return ranked.withColumn(out, qcut_decile(F.col("_r"), F.col("_r_n"), n)).drop("_r", "_r_n")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stallkeeper.session import cut_lineage
+
 BUCKETS = 256
 BORDER_ERROR = 0.001
 
@@ -45,13 +47,16 @@ def _bucketed(df: DataFrame, value: str, tie: Column | None, buckets: int) -> Da
 
 
 def global_rank(
-    df: DataFrame, value: str, id_col: str, out: str = "rank", descending: bool = True, buckets: int = BUCKETS
+    df: DataFrame, value: str, id_col: str, out: str = "rank", descending: bool = True, buckets: int = BUCKETS,
+    stored: bool = False,
 ) -> DataFrame:
     """Adds the 1-based position by ``value`` and the row count as ``{out}_n``.
 
     Equal values are ordered by md5 of the id, then the id. Rows whose value is NULL or NaN are dropped.
-    Feed a stored frame: it is read three times.
+    The frame is read three times, so it is stored first unless the caller says it already is.
     """
+    if not stored:
+        df = cut_lineage(df)
     signed = df.withColumn("_v", (-F.col(value) if descending else F.col(value)).cast("double"))
     signed = signed.withColumn("_h", F.md5(F.col(id_col).cast("string")))
     rows = _bucketed(signed, "_v", F.col("_h"), buckets)
@@ -80,8 +85,10 @@ def running_sums(
 ) -> DataFrame:
     """Adds ``run_<c>`` (sum up to and including this value) and ``all_<c>`` (partition total).
 
-    Needs one row per (partition, value): group first, which also removes any hot value.
+    Needs one row per (partition, value): group first, which also removes any hot value. The grouped
+    frame is stored because it is read three times.
     """
+    df = cut_lineage(df)
     keys = list(partition_by)
     signed = df.withColumn("_v", (-F.col(value) if descending else F.col(value)).cast("double"))
     rows = _bucketed(signed, "_v", None, buckets)

@@ -32,19 +32,39 @@ def orders_until(fact_orders: DataFrame, as_of: dt.date) -> DataFrame:
 def orders_in_window(customers: DataFrame, orders: DataFrame, days: int) -> DataFrame:
     """Orders from the sign-up day through ``days`` later; customers without one keep an empty row.
 
-    Orders are first summed per customer, order and day, so a heavy customer joins as few rows.
+    The orders drive an inner join, which may be split where one customer owns many of them; customers
+    without a match are added afterwards.
     """
     per_order = orders.groupBy("customer_id", "order_id").agg(
         F.min("order_date").alias("order_date"), F.sum("total_amount_cents").alias("amount")
     )
-    inside = per_order.order_date.between(customers.signup_date, F.date_add(customers.signup_date, days))
-    match = (customers.customer_id == per_order.customer_id) & inside
-    return customers.join(per_order, match, "left").select(customers["*"], "order_id", "order_date", "amount")
+    matched = _in_window(per_order, customers, days)
+    seen = matched.groupBy("customer_id").agg(F.lit(1).alias("_seen"))
+    empty = customers.join(seen, "customer_id", "left_anti")
+    return matched.select(*customers.columns, "order_id", "order_date", "amount").unionByName(
+        empty, allowMissingColumns=True
+    )
+
+
+def _in_window(rows: DataFrame, customers: DataFrame, days: int) -> DataFrame:
+    inside = (F.col("order_date") >= F.col("signup_date")) & (
+        F.col("order_date") <= F.date_add("signup_date", days)
+    )
+    return rows.join(customers, "customer_id").where(inside)
 
 
 def window_spend(customers: DataFrame, orders: DataFrame, days: int) -> DataFrame:
-    return orders_in_window(customers, orders, days).groupBy("customer_id", "signup_channel", "segment").agg(
-        F.count("order_id").alias("orders_in_window"), F.coalesce(F.sum("amount"), F.lit(0)).alias("spend_cents")
+    """Orders and spend inside the window per customer; orders are summed per day before the join."""
+    per_order = orders.groupBy("customer_id", "order_id").agg(
+        F.min("order_date").alias("order_date"), F.sum("total_amount_cents").alias("amount")
+    )
+    daily = per_order.groupBy("customer_id", "order_date").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+    spent = _in_window(daily, customers, days).groupBy("customer_id").agg(
+        F.sum("n").alias("n"), F.sum("amount").alias("amount")
+    )
+    return customers.join(spent, "customer_id", "left").select(
+        "customer_id", "signup_channel", "segment",
+        F.coalesce("n", F.lit(0)).alias("orders_in_window"), F.coalesce("amount", F.lit(0)).alias("spend_cents"),
     )
 
 
