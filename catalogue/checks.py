@@ -288,7 +288,7 @@ def checked_tables(m: Market) -> tb.LazyTables:
     def build(name: str):
         layer, _, rest = name.partition("_")
         if layer in ("bronze", "silver"):
-            return (m.raw if layer == "bronze" else m.silver)[rest]
+            return (m.arrived if layer == "bronze" else m.silver)[rest]
         return getattr(m.repaired_stored, name)
     return tb.LazyTables(tuple(LAYERS), build)
 

@@ -43,9 +43,22 @@ class Market:
         """What arrives: faulty copies of six tables, the rest as they are."""
         return tb.LazyTables(self.bed.ENTITIES, lambda n: self.faulty[n][0] if n in DIRTY_TABLES else self.clean[n])
 
+    @cached_property
+    def arrived(self) -> Mapping[str, DataFrame]:
+        """The raw tables as files, which is how cleaning meets them."""
+        return tb.LazyTables(
+            self.bed.ENTITIES, lambda n: cut_lineage(self.raw[n]) if n in DIRTY_TABLES else self.raw[n]
+        )
+
     @cached_property
     def silver(self) -> Mapping[str, DataFrame]:
-        return tb.LazyTables(self.bed.ENTITIES, lambda n: BUILDERS[n](self.raw[n]))
+        return tb.LazyTables(self.bed.ENTITIES, lambda n: BUILDERS[n](self.arrived[n]))
+
+    @cached_property
+    def silver_stored(self) -> Mapping[str, DataFrame]:
+        return tb.LazyTables(
+            self.bed.ENTITIES, lambda n: cut_lineage(self.silver[n]) if n in DIRTY_TABLES else self.silver[n]
+        )
 
     @cached_property
     def repaired(self) -> Gold:
@@ -58,9 +71,7 @@ class Market:
 
     @cached_property
     def repaired_stored(self) -> Gold:
-        stored = {n: cut_lineage(self.silver[n]) for n in ("customers", "orders", "order_items")}
-        tables = tb.LazyTables(self.bed.ENTITIES, lambda n: stored[n] if n in stored else self.silver[n])
-        return Gold(tables, tb.AS_OF).with_stored_facts()
+        return Gold(self.silver_stored, tb.AS_OF).with_stored_facts()
 
 
 def register(name: str, run: Callable[[Market], DataFrame], sql: str | None = None) -> None:

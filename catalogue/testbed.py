@@ -17,6 +17,8 @@ VALIDATION = dt.date(2000, 12, 31)
 TEST = dt.date(2001, 3, 31)
 SCORE = dt.date(2001, 6, 30)
 
+BIG_TABLES = ("orders", "lineitem")
+
 CHANNELS = ["organic", "paid_search", "social", "referral", "email"]
 FIRST_NAMES = ["José", "María", "João", "Ana", "Zoë", "Günter", "Noémie", "Peter"]
 LAST_NAMES = ["García", "Núñez", "Souza", "Öz", "Smith", "Gonçalves", "Brown"]
@@ -48,7 +50,10 @@ class Testbed:
         self.folder = folder
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        # a large input has far more splits than cores; a single small file would keep one core busy
+        return df.repartition(cores) if name in BIG_TABLES and df.rdd.getNumPartitions() < cores else df
 
     @cached_property
     def places(self) -> DataFrame:
