@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallkeeper.llm import exact_dedup, mixing, quality_rules
+from stallkeeper.llm import exact_dedup, mixing, packing, quality_rules, token_counts, warc
+from stallkeeper.session import cut_lineage, delete_at_exit, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -123,3 +125,44 @@ LEFT JOIN hit ON w.source IS NOT DISTINCT FROM hit.source AND w.h = hit.h AND w.
 @query("op10_mix_sources", mix_sql())
 def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).selectExpr("id AS doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_pack_sequences")
+def op4_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents")).selectExpr(
+        "id AS doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def _own_folder(spark: SparkSession, name: str) -> str:
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    return path
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents come in; one of twenty sources' worth of ids is then revised in place, and every batch is sent twice."""
+    counts = cut_lineage(token_counts.token_counts(table(spark, folder, "documents")))
+    rollup = token_counts.TokenRollup(spark, _own_folder(spark, "rollup"))
+    again = counts.where("id % 20 = 0")
+    for _ in range(2):
+        rollup.commit("load", counts.selectExpr("*", "1 AS sign"))
+        rollup.commit("revise", token_counts.revised(again, again))
+    return rollup.totals()
+
+
+PAGES_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, coalesce(html, '') AS h FROM pages),
+r AS (SELECT *, octet_length(b)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id <> top THEN top END AS refers_to
+FROM r
+"""
+
+
+@query("op9_warc_archives", PAGES_SQL)
+def op9_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    path = _own_folder(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    return warc.read_archives(spark, path).selectExpr("page AS page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
