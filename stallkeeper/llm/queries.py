@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallkeeper.llm import exact_dedup, mixing, packing, quality_rules, token_counts, warc
+from stallkeeper.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules, token_counts, warc
 from stallkeeper.session import cut_lineage, delete_at_exit, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,9 @@ def op9_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
     path = _own_folder(spark, "archives")
     warc.write_archives(table(spark, folder, "pages"), path)
     return warc.read_archives(spark, path).selectExpr("page AS page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicate_groups(table(spark, folder, "documents")).selectExpr(
+        "id AS doc_id", "n_shingles", "component_id")
