@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stallkeeper.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules, token_counts, warc
+from stallkeeper.llm import exact_dedup, jaccard_join, line_crf, line_dedup, mixing, packing, quality_rules, token_counts, warc
 from stallkeeper.session import cut_lineage, delete_at_exit, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +173,39 @@ def op9_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicate_groups(table(spark, folder, "documents")).selectExpr(
         "id AS doc_id", "n_shingles", "component_id")
+
+
+@query("op2_line_crf")
+def op2_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    seen = table(spark, folder, "labels").select("doc_id", "quality").where(~line_crf.is_held_out("doc_id"))
+    scored = line_crf.score(docs, line_crf.train(docs, seen))
+    return scored.select(
+        "doc_id", line_crf.is_held_out("doc_id").alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
+
+
+LINES_SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+f AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, trim(regexp_replace(line, '[{SPACE}]+', ' ', 'g')) AS line,
+             len(regexp_extract_all(line, '[^{SPACE}]+')) AS n FROM l WHERE regexp_matches(line, '[^{SPACE}]')),
+s AS (SELECT a.doc_id, a.pos, min(b.pos) - a.pos + 1 AS reach FROM f a JOIN (
+        SELECT doc_id, pos, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, n FROM f) b USING (doc_id)
+      JOIN (SELECT doc_id, pos, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS base FROM f) c ON c.doc_id = a.doc_id AND c.pos = a.pos
+      WHERE b.pos BETWEEN a.pos AND a.pos + {line_dedup.MIN_WORDS} AND b.upto - c.base >= {line_dedup.MIN_WORDS} GROUP BY a.doc_id, a.pos),
+w AS (SELECT s.doc_id, s.pos, reach, string_agg(line, chr(10) ORDER BY f.pos) AS run FROM s JOIN f ON f.doc_id = s.doc_id
+      AND f.pos BETWEEN s.pos AND s.pos + reach - 1 GROUP BY s.doc_id, s.pos, reach),
+r AS (SELECT *, first_value(doc_id) OVER g AS fd, first_value(pos) OVER g AS fp FROM w WINDOW g AS (PARTITION BY run ORDER BY doc_id, pos)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + reach)) AS pos FROM r WHERE doc_id <> fd OR pos >= fp + reach),
+isle AS (SELECT doc_id, g.pos, n, g.pos - row_number() OVER (PARTITION BY doc_id ORDER BY g.pos) AS run FROM gone g JOIN f USING (doc_id, pos)),
+sums AS (SELECT doc_id, count(*) AS lines, sum(n) AS words, count(DISTINCT run) AS runs FROM isle GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(lines, 0)::BIGINT AS n_deleted_lines,
+       coalesce(words, 0)::BIGINT AS n_deleted_words, coalesce(runs, 0)::BIGINT AS n_runs
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN sums s ON s.doc_id = d.doc_id
+"""
+
+
+@query("op3_line_runs", LINES_SQL)
+def op3_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
