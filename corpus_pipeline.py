@@ -1,10 +1,54 @@
-"""Corpus preparation: each stage reads what the one before has written."""
+"""Corpus preparation in five stages, each over all rows that the one before kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stallkeeper.llm import exact_dedup, jaccard_join, line_crf, mixing, packing
+from stallkeeper.session import cut_lineage
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose line-CRF score reaches the threshold; held-out labels are not learnt from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(~line_crf.is_held_out("doc_id"))
+    scored = line_crf.score(docs, line_crf.train(docs, labels))
+    return scored.where(F.col("quality_score") >= line_crf.THRESHOLD).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard_join.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources in their target weights; a document appears as often as the mix takes it."""
+    return mixing.mix_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes; a document taken twice has its pieces twice."""
+    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("n-gram jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, folder):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallkeeper.llm.texts import text_of, words_of
@@ -25,14 +25,15 @@ LEVEL_BITS = 10
 PASSES = 3
 
 
-def _sized(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+def _sized(id_column: str, text_column: str, source_column: str) -> list[Column]:
+    """Id, source, number of words and hash of a row."""
     text = text_of(text_column)
     mark = F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit("\n"), text))
-    return docs.select(
+    return [
         F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"),
         F.size(words_of(text)).cast("long").alias("size"),
         F.conv(F.substring(mark, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
-    )
+    ]
 
 
 def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -92,23 +93,15 @@ def _threshold(rows: DataFrame, budgets: DataFrame, nearest: bool) -> DataFrame:
     return reduce(DataFrame.union, found)
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
-        weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT, passes: int = PASSES) -> DataFrame:
-    """``id, source, h, size, source_size, target, taken`` of every row; a document is taken whole, taken / size times.
-
-    A source is taken whole as often as its target holds it, and the rest by threshold. Null texts have size 0 and are
-    not taken. Null sources are one source, the last. Repeated rows have one hash and go in or out together. A table
-    without words has targets 0; an empty table gives an empty result.
-    """
-    rows = cut_lineage(_sized(docs, id_column, text_column, source_column))
+def _plan(rows: DataFrame, weights: tuple, max_repeat: int, passes: int) -> DataFrame:
+    """``of, source_size, target, times, bars`` of every source: whole copies, and the thresholds for the rest."""
     goal = cut_lineage(source_targets(rows, weights, max_repeat))
     times = F.when(F.col("target") >= F.col("source_size") * max_repeat, F.lit(max_repeat)).otherwise(
         F.floor(F.col("target") / F.col("source_size"))).cast("long")
-    budgets = goal.where("source_size > 0").select(
+    budgets = goal.where("source_size > 0").withColumn("times", times).select(
         F.col("source").alias("src"), F.lit(0).cast("long").alias("lower"), F.lit(2**62).cast("long").alias("most"),
-        "target", "source_size", times.alias("times"),
-    ).withColumn("budget", F.when(F.col("times") == max_repeat, F.lit(0.0)).otherwise(
-        F.col("target") - F.col("times") * F.col("source_size"))).where("budget > 0").select("src", "lower", "most", "budget")
+        F.when(F.col("times") == max_repeat, F.lit(0.0)).otherwise(
+            F.col("target") - F.col("times") * F.col("source_size")).alias("budget")).where("budget > 0")
     bars, words = [], rows.where("size > 0")
     for k in range(passes):
         cut = _threshold(words, budgets, nearest=k == passes - 1)
@@ -116,15 +109,36 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
             "src", "lower", "most", F.coalesce("below", F.lit(2**62).cast("long")).alias("below")))
         budgets = cut.select("src", (F.col("at") + 1).alias("lower"), F.floor("rest").cast("long").alias("most"),
                              F.col("rest").alias("budget")).where("most > 0")
-    bar = cut_lineage(
-        reduce(DataFrame.union, bars).groupBy("src").agg(F.collect_list(F.struct("lower", "most", "below")).alias("bars"))
-    )
-    marked = goal.join(bar, F.col("source").eqNullSafe(F.col("src")), "left").select(
-        F.col("source").alias("of"), "source_size", "target", times.alias("times"), "bars")
-    marked = cut_lineage(marked)
+    bar = reduce(DataFrame.union, bars).groupBy("src").agg(F.collect_list(F.struct("lower", "most", "below")).alias("bars"))
+    return cut_lineage(goal.join(cut_lineage(bar), F.col("source").eqNullSafe(F.col("src")), "left").select(
+        F.col("source").alias("of"), "source_size", "target", times.alias("times"), "bars"))
+
+
+def _copies() -> Column:
     fits = F.exists("bars", lambda b: (F.col("h") >= b["lower"]) & (F.col("size") <= b["most"]) & (F.col("h") < b["below"]))
-    return rows.join(marked, F.col("source").eqNullSafe(F.col("of"))).select(
-        "id", "source", "h", "size", "source_size", "target",
-        F.when(F.col("size") == 0, F.lit(0)).otherwise(
-            F.col("size") * (F.col("times") + F.when(fits, 1).otherwise(0))).cast("long").alias("taken"),
-    )
+    return F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("times") + F.when(fits, 1).otherwise(0)).cast("long")
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+        weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT, passes: int = PASSES) -> DataFrame:
+    """``id, source, size, source_size, target, taken`` of every row; a document is taken whole, taken / size times.
+
+    A source is taken whole as often as its target holds it, and the rest by threshold. Null texts have size 0 and are
+    not taken. Null sources are one source, the last. Repeated rows have one hash and go in or out together. A table
+    without words has targets 0; an empty table gives an empty result. Other columns are not read.
+    """
+    rows = cut_lineage(docs.select(*_sized(id_column, text_column, source_column)))
+    return rows.join(_plan(rows, weights, max_repeat, passes), F.col("source").eqNullSafe(F.col("of"))).select(
+        "id", "source", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+                  weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT, passes: int = PASSES) -> DataFrame:
+    """The mix itself: every row of ``docs`` with all its columns, as often as it is taken."""
+    marks = _sized(id_column, text_column, source_column)
+    plan = _plan(cut_lineage(docs.select(*marks)), weights, max_repeat, passes)
+    names = [f"row_{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*marks, *[F.col(f"`{c}`").alias(a) for c, a in zip(docs.columns, names)])
+    taken = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).select(*names, _copies().alias("copies")).where("copies > 0")
+    return taken.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(
+        *[F.col(a).alias(c) for c, a in zip(docs.columns, names)])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.llm import exact_dedup, jaccard_join, line_crf, line_dedup, mixing, packing, quality_rules, token_counts, warc
+from stallkeeper.llm import exact_dedup, gru_lm, jaccard_join, line_crf, line_dedup, mixing, packing, quality_rules, token_counts, warc
 from stallkeeper.session import cut_lineage, delete_at_exit, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,8 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN sums s ON s.doc_id
 @query("op3_line_runs", LINES_SQL)
 def op3_line_runs(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_gru_language_model")
+def op6_gru_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return gru_lm.score(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
