@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import gc
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,3 +73,12 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now; it does so only when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, as ``--py-files`` would, so that they need not have it installed."""
+    if any(f.endswith("/stallkeeper.zip") for f in spark.sparkContext.listFiles):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="stallkeeper-code-")  # on the driver alone; Spark serves it to the executors
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "stallkeeper"), "zip", root, "stallkeeper"))
