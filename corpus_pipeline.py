@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallkeeper.llm import exact_dedup, jaccard_join, line_crf, mixing, packing
-from stallkeeper.session import cut_lineage
+from stallkeeper.session import cut_lineage, ship_package
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose line-CRF score reaches the threshold; held-out labels are not learnt from."""
+    ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(~line_crf.is_held_out("doc_id"))
     scored = line_crf.score(docs, line_crf.train(docs, labels))
     return scored.where(F.col("quality_score") >= line_crf.THRESHOLD).select(*docs.columns)
@@ -23,6 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    ship_package(spark)
     return jaccard_join.drop_near_duplicates(docs)
 
 
@@ -33,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes; a document taken twice has its pieces twice."""
+    ship_package(spark)
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 

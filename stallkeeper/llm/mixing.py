@@ -54,7 +54,7 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, max_repeat: int =
     weight = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     shared = weighed.select("*", top.alias("top"), (rest / weight).alias("level"))
     open_ = F.col("top") >= F.col("weight") * F.col("level")
-    water = F.min(F.when(open_, F.col("level"))).over(Window.orderBy(F.lit(1)).rowsBetween(
+    water = F.max(F.when(open_, F.col("level"))).over(Window.orderBy(F.lit(1)).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing))
     return shared.select(
         "source", "source_size",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallkeeper.llm import exact_dedup, gru_lm, jaccard_join, line_crf, line_dedup, mixing, packing, quality_rules, token_counts, warc
-from stallkeeper.session import cut_lineage, delete_at_exit, shared_folder
+from stallkeeper.session import cut_lineage, delete_at_exit, shared_folder, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,7 +17,11 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def put(run):
-        QUERIES[name] = run
+        def ready(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return run(spark, folder)
+
+        QUERIES[name] = ready
         if sql is not None:
             ORACLE[name] = sql
         return run
@@ -109,7 +113,7 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(top) OVER f, 0))::DOUBL
              / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0))::DOUBLE AS level
       FROM r WINDOW f AS (ORDER BY top::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT source, source_size,
-      (CASE WHEN top >= weight * level THEN weight * min(CASE WHEN top >= weight * level THEN level END) OVER () ELSE top END)::DOUBLE AS target FROM l),
+      (CASE WHEN top >= weight * level THEN weight * max(CASE WHEN top >= weight * level THEN level END) OVER () ELSE top END)::DOUBLE AS target FROM l),
 q AS (SELECT *, CASE WHEN target >= source_size * {mixing.MAX_REPEAT} THEN {mixing.MAX_REPEAT} ELSE floor(target / source_size) END::BIGINT AS times FROM g),
 b0 AS (SELECT source, 0::BIGINT AS lower, 4611686018427387904 AS most, target - times * source_size AS budget FROM q
        WHERE source_size > 0 AND times < {mixing.MAX_REPEAT} AND target - times * source_size > 0),{passes},
