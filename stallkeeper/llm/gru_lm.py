@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,14 @@ from pyspark.sql import types as T
 from stallkeeper.llm.texts import id_key, text_of
 from stallkeeper.session import cut_lineage, free_shuffles
 
-HEAD = 32_768  # words whose counts every task holds
+HEAD_SHARE = 2**18  # a word is in the head, whose counts every task holds, if it is one in so many tokens or more
 SLOTS = 2_048  # of these, words the output layer tells apart
 CLASSES = 48
-HIDDEN = 24
+HIDDEN = 16
 WINDOW = 24
 SAMPLE_DOCS = 600
 SAMPLE_WORDS = 400_000
-SHARE = 24  # one in so many training documents is trained on in its partition
+SHARE = 32  # one in so many training documents is trained on in its partition
 END = b""  # no word is empty, so this stands for the end of a text
 LN10 = float(np.log(10))
 
@@ -81,7 +82,7 @@ class Vocabulary:
     def slots(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Slot and place in the head (-1: not there) of each word and the end, and the words outside the head."""
         get = self.head.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         at = np.append(at, self.head[END])
         slot = np.empty(len(at), np.int64)
         known = at >= 0
@@ -151,7 +152,7 @@ class Gru:
             grads["c"] += h.T @ p
             grads["bc"] += p.sum(0)
             back = p @ w["c"].T
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
             at = order[edges[k] : edges[k + 1]]
@@ -173,7 +174,7 @@ class Gru:
                 back[at] += p @ w["s"][:, low:high].T
         return out, back
 
-    def train(self, texts: list[np.ndarray], width: int = 64, rate: float = 0.08) -> None:
+    def train(self, texts: list[np.ndarray], width: int = 128, rate: float = 0.08) -> None:
         """One pass of truncated backpropagation: ``width`` texts side by side, the state carried between windows."""
         texts = sorted((t for t in texts if len(t)), key=len)
         for group in range(0, len(texts), width):
@@ -199,31 +200,39 @@ class Gru:
         keep: list = []
         out = self.states(inputs, h, keep)
         mask = inside.T
-        grads = {k: np.zeros_like(a) for k, a in self.w.items()}
+        grads = {k: np.zeros_like(a) for k, a in self.w.items() if k != "x"}
         _, back = self.log_probs(out[mask], target.T[mask], grads)
         d = np.zeros_like(out)
         d[mask] = back
         n, u = HIDDEN, self.w["u"]
-        dh = np.zeros_like(h)
+        dh, dx = np.zeros_like(h), np.empty((steps, len(h), 3 * n), np.float32)
         for t in range(steps - 1, -1, -1):
             old, r, z, new, an = keep[t]
             dh = dh + d[t]
             dn = dh * (1 - z) * (1 - new * new)
             dz = dh * (old - new) * z * (1 - z)
             dr = dn * an * r * (1 - r)
-            g = np.concatenate([dr, dz, dn], 1)
+            dx[t] = np.concatenate([dr, dz, dn], 1)
             a = np.concatenate([dr, dz, dn * r], 1)
-            np.add.at(grads["x"], inputs[:, t], g)
             grads["u"] += old.T @ a
             dh = dh * z + a @ u.T
+        which = inputs.T.ravel()
+        order = np.argsort(which, kind="stable")
+        rows, first = np.unique(which[order], return_index=True)
         count = max(1, int(mask.sum()))
-        for k, a in self.w.items():  # Adagrad with the gradient's size bounded
-            g = np.clip(grads[k] / count, -1, 1) * 32
-            self.square[k] += g * g
-            a -= (rate * g / (np.sqrt(self.square[k]) + 1e-3)).astype(np.float32)
+        for k in grads:
+            self._step(self.w[k], self.square[k], grads[k] / count, rate, slice(None))
+        self._step(self.w["x"], self.square["x"], np.add.reduceat(dx.reshape(-1, 3 * n)[order], first) / count, rate, rows)
         return out[-1]
 
-    def scores(self, texts: list[np.ndarray], width: int = 256) -> np.ndarray:
+    @staticmethod
+    def _step(weight, square, slope, rate, rows) -> None:
+        """Adagrad on the rows that have a gradient, whose size is bounded."""
+        g = np.clip(slope, -1, 1) * 32
+        square[rows] += g * g
+        weight[rows] -= rate * g / (np.sqrt(square[rows]) + np.float32(1e-3))
+
+    def scores(self, texts: list[np.ndarray], width: int = 512) -> np.ndarray:
         """Natural log probability of the slots of each whole text."""
         result = np.zeros(len(texts))
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
@@ -287,23 +296,22 @@ def count_words(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From stored counts: totals by class and the HEAD most frequent words, ties by word."""
-    head = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()]
-    if END not in dict(head):
-        held = counts.where(F.col("word") == END).first()
-        head = head[: HEAD - 1] + [(END, held["n"] if held else 0)]
+    """From stored counts: totals by class, and the head, which has HEAD_SHARE words at most by its definition."""
+    sums = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
+    tokens = sum(r["n"] for r in sums)
+    often = counts.where((F.col("n") * HEAD_SHARE >= tokens) | (F.col("word") == END)).select("word", "n").collect()
+    head = sorted(((bytes(r["word"]), r["n"]) for r in often), key=lambda x: (-x[1], x[0])) or [(END, 0)]
     # the end of a text has a slot, however rare it is
     place = [w for w, _ in head].index(END)
     if place >= SLOTS:
         head.insert(SLOTS - 1, head.pop(place))
-    sums = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
     mass = np.full(CLASSES, 0.5)
     for r in sums:
         mass[r["cls"]] += r["n"] + 0.5 * r["types"]
     for w, n in head[:SLOTS]:
         if n:
             mass[word_class(w)] -= n + 0.5
-    return Vocabulary(sum(r["n"] for r in sums), sum(r["types"] for r in sums), {w: i for i, (w, _) in enumerate(head)},
+    return Vocabulary(tokens, sum(r["types"] for r in sums), {w: i for i, (w, _) in enumerate(head)},
                       np.array([n for _, n in head], np.float64), np.maximum(mass, 0.5))
 
 
