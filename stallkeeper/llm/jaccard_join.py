@@ -9,10 +9,11 @@ many shingles first, then a second unit on the largest, and segments with one sh
 left. Small bands use few segments with allowance 2 throughout, where that costs few rows. A set looks up its own band
 and the next, in which its larger partners may lie.
 
-Sets that are equal are joined first and act as one. A bucket's sets are compared with one of them; buckets that then
-still hold several components are compared across components, so a large group of near copies costs as many comparisons
-as it has members. Shingles are 64-bit hashes of five words, equal sets are recognised by 128 bits; every link is
-verified on the whole sets.
+Sets that are equal are joined first and act as one. A bucket's sets are compared with up to four of them, its centres.
+Buckets that then still hold several components are looked at in blocks of bounded size inside tasks, and only pairs that
+may link come out. What rules a pair out there, and before whole sets are fetched, is the parity of the number of
+shingles per hash bucket: the bits in which two sets' parities differ are no more than the shingles in which they do.
+Shingles are 64-bit hashes of five words, equal sets are recognised by 128 bits; every link is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ N = 5
 PERCENT = 80
 SMALL = 60  # bands up to this size use allowance 2 throughout
 LARGE_SEGMENT = 10  # elsewhere only segments from this size on may get allowance 2
+BLOCK = 1024  # sets of a bucket that are looked at together
 INDEX, PROBE, PROBE2, INDEX_LESS, PROBE_LESS = 1, 2, 4, 8, 16
 
 
@@ -86,6 +88,67 @@ def set_identity(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np
             _sums(mix(h + np.uint64(0x632BE59BD9B4E019)), row, n))
 
 
+def parities(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Per set, a bit for each of its 2 to 4 times as many hash buckets: whether an odd number of shingles is in it."""
+    bits = np.left_shift(64, np.ceil(np.log2(np.maximum(1, size * 2 / 64))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    spread = (mix(h ^ np.uint64(0x94D049BB133111EB)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(base[row] + spread, minlength=base[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return [packed[a // 8 : b // 8].tobytes() for a, b in zip(base[:-1], base[1:])]
+
+
+def fold(sketch: np.ndarray, width: int) -> np.ndarray:
+    """Rows of 64-bit words, to ``width`` words: buckets that differ in their top bit only become one."""
+    while sketch.shape[1] > width:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def may_link(sketch: list[bytes], size: np.ndarray, label: np.ndarray, tree: bool):
+    """Pairs of different labels that sizes and parities don't rule out; with ``tree`` only such as join new labels."""
+    width = np.array([len(x) // 8 for x in sketch])
+    kinds = {w: (at := np.flatnonzero(width == w), np.array([np.frombuffer(sketch[i], np.uint64) for i in at])) for w in np.unique(width)}
+    left, right, apart = [], [], []
+    for w, (at, a) in kinds.items():
+        for v, (to, b) in kinds.items():
+            if v > w:
+                continue
+            b_, a_ = fold(b, v), fold(a, v)
+            step = max(1, (1 << 21) // max(1, b_.size))
+            for k in range(0, len(at), step):
+                i = at[k : k + step]
+                gap = np.bitwise_count(a_[k : k + step, None, :] ^ b_[None, :, :]).sum(2)
+                small, big = np.minimum(size[i][:, None], size[to][None, :]), np.maximum(size[i][:, None], size[to][None, :])
+                fine = (gap <= max_difference(small, big)) & (small * 100 >= big * PERCENT) & (label[i][:, None] != label[to][None, :])
+                if v == w:
+                    fine &= i[:, None] < to[None, :]
+                x, y = np.nonzero(fine)
+                left.append(i[x])
+                right.append(to[y])
+                apart.append(gap[x, y])
+    left, right, apart = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right, apart))
+    if not tree or not len(left):
+        return left, right
+    names, at = np.unique(label, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    kept = []
+    for k in np.argsort(apart, kind="stable"):
+        x, y = root(at[left[k]]), root(at[right[k]])
+        if x != y:
+            parent[x] = y
+            kept.append(k)
+    return left[kept], right[kept]
+
+
 def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, own: bool):
     """(row, key, role) of the sets as members of their own band, or as they look up the next band."""
     table = bands(max(1, int(size.max(initial=1)) * 2))
@@ -129,11 +192,11 @@ def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, own: bool):
 
 
 def _sets(docs: DataFrame, id_column: str, text_column: str, kind: str) -> DataFrame:
-    """Per row its ``identity`` (d, id, n, set, check), or the set's ``signatures`` (key, set, role) or ``shingles``."""
+    """Per row its ``identity`` (d, id, n, set, check, parity), or the set's ``signatures`` (key, set, role) or ``shingles``."""
     rows = docs.select(F.col(id_column).alias("id"), id_key(id_column).alias("d"), text_of(text_column).alias("text"))
     long = T.LongType()
     schema = {
-        "identity": T.StructType([T.StructField("d", T.StringType()), rows.schema["id"], *(T.StructField(c, long) for c in ("n", "set", "check"))]),
+        "identity": T.StructType([T.StructField("d", T.StringType()), rows.schema["id"], *(T.StructField(c, long) for c in ("n", "set", "check")), T.StructField("parity", T.BinaryType())]),
         "signatures": T.StructType([T.StructField("key", long), T.StructField("set", long), T.StructField("role", T.ByteType())]),
         "shingles": T.StructType([T.StructField("set", long), T.StructField("shingles", T.ArrayType(long))]),
     }[kind]
@@ -148,7 +211,7 @@ def _sets(docs: DataFrame, id_column: str, text_column: str, kind: str) -> DataF
                 name = one.view(np.int64)
                 if kind == "identity":
                     part = batch.slice(begin, n)
-                    columns = [part.column("d"), part.column("id"), pa.array(size, pa.int64()), pa.array(name), pa.array(two.view(np.int64))]
+                    columns = [part.column("d"), part.column("id"), pa.array(size, pa.int64()), pa.array(name), pa.array(two.view(np.int64)), pa.array(parities(row, h, size), pa.binary())]
                 elif kind == "shingles":
                     edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                     columns = [pa.array(name), pa.ListArray.from_arrays(pa.array(edges), pa.array(h.view(np.int64)))]
@@ -161,6 +224,27 @@ def _sets(docs: DataFrame, id_column: str, text_column: str, kind: str) -> DataF
     return rows.mapInArrow(work, schema)
 
 
+def _likely(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that sizes and parities don't rule out."""
+    sides = [facts.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab"]
+    low, high = F.least("na", "nb"), F.greatest("na", "nb")
+    both = pairs.join(sides[0], "a").join(sides[1], "b").where(low * 100 >= high * PERCENT)
+
+    def test(batches):
+        for batch in batches:
+            a, b, na, nb, pa_, pb = (batch.column(c) for c in ("a", "b", "na", "nb", "pa", "pb"))
+            most = max_difference(na.to_numpy(), nb.to_numpy())
+            fine = np.zeros(len(most), bool)
+            for k, (x, y) in enumerate(zip(pa_, pb)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64)[None, :] for v in (x, y))
+                width = min(x.shape[1], y.shape[1])
+                fine[k] = int(np.bitwise_count(fold(x, width) ^ fold(y, width)).sum()) <= most[k]
+            at = pa.array(np.flatnonzero(fine))
+            yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], names=["a", "b"])
+
+    return cut_lineage(both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(test, "a long, b long"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """The pairs ``a, b`` of sets that link, by the sizes of intersection and union of the whole sets."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
@@ -169,10 +253,45 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, id_column: st
     sets = cut_lineage(_sets(held, id_column, text_column, "shingles").dropDuplicates(["set"]))
     a, b = (sets.select(F.col("set").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
-    return cut_lineage(
+    links = cut_lineage(
         pairs.join(a, "a").join(b, "b").withColumn("common", common)
         .where(F.col("common") * 100 >= (F.size("sa") + F.size("sb") - F.col("common")) * PERCENT).select("a", "b")
     )
+    free_shuffles(docs.sparkSession)
+    return links
+
+
+def _across(buckets: DataFrame, facts: DataFrame, label: DataFrame, tree: bool) -> DataFrame:
+    """Pairs ``a, b`` of different components in one bucket that may link; see ``may_link``.
+
+    A bucket of more than BLOCK sets is cut into blocks by hash, and every two blocks meet in a group of their own.
+    """
+    named = buckets.join(label, F.col("set") == F.col("node"), "left").select(
+        "key", "set", "members", F.coalesce("label", "set").alias("label"))
+    named = cut_lineage(named)
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    rows = named.join(cut_lineage(mixed), "key").join(facts, "set")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
+    mine = F.pmod(F.xxhash64("set"), blocks)
+    rows = rows.select("key", F.struct("set", "n", "label", "parity").alias("s"), mine.alias("mine"),
+                       F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    groups = rows.groupBy("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.collect_list("s").alias("s"))
+
+    def look(batches):
+        for batch in batches:
+            sets = batch.column("s")
+            flat, edge = sets.flatten(), sets.offsets.to_numpy() - sets.offsets[0].as_py()
+            name, n, label_ = (flat.field(c).to_numpy() for c in ("set", "n", "label"))
+            parity = flat.field("parity").to_pylist()
+            out = [np.empty((0, 2), np.int64)]
+            for a, b in zip(edge[:-1], edge[1:]):
+                x, y = may_link(parity[a:b], n[a:b], label_[a:b], tree)
+                if len(x):
+                    out.append(np.sort(np.stack([name[a:b][x], name[a:b][y]], 1), 1))
+            pairs = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return cut_lineage(groups.select("s").mapInArrow(look, "a long, b long").distinct())
 
 
 def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -190,30 +309,26 @@ def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_colum
     rows = _sets(docs, id_column, text_column, "signatures").repartition("key")
     rows = rows.groupBy("key", "set").agg(F.bit_or("role").alias("role"))
     key = Window.partitionBy("key")
-    buckets = cut_lineage(
-        rows.select("*", F.count("*").over(key).alias("members"), F.min("set").over(key).alias("centre")).where("members > 1")
-    )
-    free_shuffles(docs.sparkSession)
-    star = cut_lineage(buckets.where("set <> centre").select(
-        F.col("centre").alias("a"), F.col("set").alias("b")).distinct())
-    links = _verified(star, docs, known, id_column, text_column)
+    of_kind = lambda f, k: f(F.when(F.col("role").bitwiseAND(k) != 0, F.col("set"))).over(key)
+    is_index, is_probe = INDEX | INDEX_LESS, PROBE | PROBE2 | PROBE_LESS
+    ends = [of_kind(f, k).alias(c) for c, f, k in (
+        ("i0", F.min, is_index), ("i1", F.max, is_index), ("p0", F.min, is_probe), ("p1", F.max, is_probe))]
+    buckets = cut_lineage(rows.select("*", F.count("*").over(key).alias("members"), *ends).where(
+        "members > 1 AND i0 IS NOT NULL AND p0 IS NOT NULL"))
     free_shuffles(docs.sparkSession)
+    facts = cut_lineage(known.join(buckets.select("set").distinct(), "set").groupBy("set").agg(
+        F.first("n").alias("n"), F.first("parity").alias("parity")))
+    star = buckets.select("set", F.explode(F.array("i0", "i1", "p0", "p1")).alias("centre")).where("set <> centre").select(
+        F.least("set", "centre").alias("a"), F.greatest("set", "centre").alias("b")).distinct()
+    links = _verified(_likely(star, facts), docs, known, id_column, text_column)
     label = components(links)
-    # what the centres have not joined: pairs of different components that agree on a key
-    rest = buckets.where("members > 2").join(label, F.col("set") == F.col("node"), "left").select(
-        "key", "set", "role", F.coalesce("label", "set").alias("label"))
-    rest = cut_lineage(rest)
-    mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = cut_lineage(rest.join(cut_lineage(mixed), "key"))
-    probe, index = (rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("set", "role", "label"))) for x in "pi")
-    bit = lambda c, k: F.col(c).bitwiseAND(k) != 0
-    fits = (bit("role_p", PROBE) & bit("role_i", INDEX)) | (bit("role_p", PROBE2) & bit("role_i", INDEX_LESS)) | (
-        bit("role_p", PROBE_LESS) & bit("role_i", INDEX))
-    pairs = probe.join(index, "key").where((F.col("label_p") != F.col("label_i")) & fits).select(
-        F.least("set_p", "set_i").alias("a"), F.greatest("set_p", "set_i").alias("b")).distinct()
-    pairs = cut_lineage(pairs.join(star, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        links = links.union(_verified(pairs, docs, known, id_column, text_column))
+    # what the centres have not joined; first such pairs as would join components, then all that are left
+    rest = buckets.where("members > 2").select("key", "set", "members")
+    for tree in (True, False):
+        more = _across(rest, facts, label, tree)
+        if more.isEmpty():
+            break
+        links = cut_lineage(links.union(_verified(more, docs, known, id_column, text_column)))
         label = components(links)
     of = known.join(cut_lineage(label), (F.col("set") == F.col("node")) & (F.col("n") > 0), "left").select(
         "d", "id", "n", F.coalesce("label", "set").alias("group"))
