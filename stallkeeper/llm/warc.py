@@ -46,9 +46,10 @@ def _record(page: str, url: str | None, payload: bytes, size: int, digest: bytes
 
 def train_dictionary(pages: DataFrame, id_column: str, html_column: str) -> bytes:
     """A dictionary from the heads of the SAMPLE_RECORDS records with the smallest hashes; empty if they are too few."""
-    sample = pages.select(
-        F.xxhash64(F.col(id_column)).alias("h"), F.encode(F.substring(html_column, 1, SAMPLE_BYTES), "UTF-8").alias("b")
-    ).where("b IS NOT NULL").orderBy("h", "b").limit(SAMPLE_RECORDS).collect()
+    mark = F.xxhash64(F.col(id_column), F.col(html_column))
+    chosen = pages.where(F.col(html_column).isNotNull()).select(mark.alias("h")).distinct().orderBy("h").limit(SAMPLE_RECORDS)
+    heads = pages.select(mark.alias("h"), F.encode(F.substring(html_column, 1, SAMPLE_BYTES), "UTF-8").alias("b"))
+    sample = heads.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h").collect()
     records = [_record("0", f"http://host/{i}", bytes(r["b"]), len(r["b"]), bytes(20), None, DATE) for i, r in enumerate(sample)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, records).as_bytes() if len(records) >= 16 else b""
