@@ -295,6 +295,33 @@ register(
 )
 
 
+NO_SCORE = f"{hash_bucket('broken', 'customer_id')} % 10 = 0"
+cte("broken_rows", "SELECT * REPLACE (" + ", ".join(
+    f"CASE WHEN {NO_SCORE} THEN NULL ELSE {c} END AS {c}"
+    for c in ("churn_probability", "predicted_churn_flag", "risk_segment", "risk_decile")) + ") FROM score_rows")
+
+
+def broken_scores(m: Market) -> DataFrame:
+    """The score table of a snapshot in which one customer in ten has no score."""
+    p = F.when(bucket("broken", F.col("customer_id")) % 10 != 0, F.col("churn_probability"))
+    return sc.score_output(cut_lineage(scored_now(m).withColumn("churn_probability", p)), SCORED_AT)
+
+
+register(
+    "validate_scores_broken",
+    lambda m: v.validate_scores(broken_scores(m)),
+    BASE.format("broken_rows", "customer_id") + " UNION ALL " + rule_sql({
+        "null_customer_id": "customer_id IS NULL",
+        "null_probability": "churn_probability IS NULL",
+        "invalid_predicted_flag": "coalesce(predicted_churn_flag NOT IN (0, 1), true)",
+        "invalid_missing_spend_flag": "lifetime_spend_missing_flag NOT IN (0, 1)",
+        "probability_out_of_range": "coalesce(churn_probability NOT BETWEEN 0 AND 1, true)",
+        "unexpected_risk_segment": "coalesce(risk_segment NOT IN ('high_risk', 'medium_risk', 'low_risk'), true)",
+        "decile_out_of_range": "coalesce(risk_decile NOT BETWEEN 1 AND 10, true)",
+    }, "broken_rows"),
+)
+
+
 def score_checks(m: Market) -> DataFrame:
     scores = cut_lineage(score_table(m))
     tables = {"scores": scores, "dim_customers": m.gold.dim_customers}
@@ -358,8 +385,17 @@ register("model_candidates", lambda m: m.spark.createDataFrame(
     "family string, class_weight string, pr_auc double, top_20_recall double, roc_auc double"))
 register("model_test_metrics", lambda m: test_metrics(m, "behavioral").unionByName(test_metrics(m, "channel")))
 register("model_comparison", lambda m: ev.compare_models(test_metrics(m, "behavioral"), test_metrics(m, "channel")))
+
+
+def validation_metrics(m: Market, family: str) -> DataFrame:
+    rows = stored(m).where(F.col("snapshot_date") == tb.VALIDATION)
+    return ml.metrics_row(trained(m, family), keep(
+        m, f"validation-{family}", lambda: cut_lineage(ml.score(trained(m, family).pipeline, rows))))
+
+
+# the family is chosen before the test split is looked at
 register("model_selection", lambda m: ev.select_model(
-    test_metrics(m, "behavioral").unionByName(test_metrics(m, "channel"))))
+    validation_metrics(m, "behavioral").unionByName(validation_metrics(m, "channel"))))
 register("model_predictions", lambda m: ev.prediction_frame(
     test_scored(m, "behavioral"), MODEL_NAMES["behavioral"], trained(m, "behavioral").threshold))
 register("model_scores", lambda m: sc.score_output(

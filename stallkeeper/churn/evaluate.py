@@ -20,6 +20,13 @@ from stallkeeper.plans.governed import cross_combine
 PROBABILITY = "churn_probability"
 
 
+def sound(scored: DataFrame) -> DataFrame:
+    """The same rows; a NULL or NaN score stops the job, so that all metrics speak of one population."""
+    p = F.col(PROBABILITY)
+    refuse = F.raise_error(F.lit("a scored row has no churn_probability")).cast("double")
+    return scored.withColumn(PROBABILITY, F.when(p.isNull() | F.isnan(p), refuse).otherwise(p))
+
+
 def threshold_grid(start: float = 0.05, stop: float = 0.951, step: float = 0.01) -> list[float]:
     """Evenly stepped floats; the increment is the difference of the first two, as in array ranges."""
     increment = (start + step) - start
@@ -37,7 +44,7 @@ def threshold_table(scored: DataFrame, model_name: str, grid: list[float] | None
     cut = Bucketizer(
         splits=[float("-inf"), *grid, float("inf")], inputCol=PROBABILITY, outputCol="_b", handleInvalid="skip"
     )
-    counted = cut.transform(scored).groupBy(F.col("_b").cast("int").alias("k")).agg(
+    counted = cut.transform(sound(scored)).groupBy(F.col("_b").cast("int").alias("k")).agg(
         F.count("*").alias("n"), F.sum(LABEL).alias("pos")
     )
     slots = scored.sparkSession.range(len(grid) + 1).select(F.col("id").cast("int").alias("k"))
@@ -69,7 +76,7 @@ def choose_threshold(table: DataFrame) -> DataFrame:
 
 def confusion(scored: DataFrame, threshold: float) -> DataFrame:
     y, hit = F.col(LABEL) == 1, F.col(PROBABILITY) >= F.lit(threshold)
-    c = scored.agg(
+    c = sound(scored).agg(
         F.count("*").alias("rows"),
         F.sum(LABEL).alias("churners"),
         F.count_if(~y & ~hit).alias("true_negative"),
@@ -92,7 +99,7 @@ def confusion(scored: DataFrame, threshold: float) -> DataFrame:
 
 def _score_groups(scored: DataFrame) -> DataFrame:
     """Customers and churners per distinct score, with running sums from the highest score down."""
-    groups = scored.groupBy(PROBABILITY).agg(F.count("*").alias("n"), F.sum(LABEL).alias("pos"))
+    groups = sound(scored).groupBy(PROBABILITY).agg(F.count("*").alias("n"), F.sum(LABEL).alias("pos"))
     return running_sums(groups, PROBABILITY, ["n", "pos"], descending=True)
 
 
@@ -122,12 +129,12 @@ def average_precision(scored: DataFrame) -> DataFrame:
 
 def brier(scored: DataFrame) -> DataFrame:
     gap = F.col(PROBABILITY) - F.col(LABEL)
-    return scored.agg(F.avg(gap * gap).alias("brier_score"))
+    return sound(scored).agg(F.avg(gap * gap).alias("brier_score"))
 
 
 def top_fractions(scored: DataFrame, fractions: list[float], id_col: str = ID) -> DataFrame:
     """Precision, recall and lift of the highest-risk share of customers, one row per share."""
-    ranked = global_rank(scored.select(id_col, LABEL, PROBABILITY), PROBABILITY, id_col, "r", stored=True)
+    ranked = global_rank(sound(scored).select(id_col, LABEL, PROBABILITY), PROBABILITY, id_col, "r", stored=True)
     quota = [F.greatest(F.lit(1), F.ceil(F.col("r_n") * F.lit(f))) for f in fractions]
     sums = ranked.agg(
         F.count("*").alias("rows"),
@@ -168,7 +175,7 @@ def evaluate(scored: DataFrame, threshold: float) -> DataFrame:
 
 def prediction_frame(scored: DataFrame, model_name: str, threshold: float) -> DataFrame:
     """Auditable predictions; decile 10 holds the highest risk."""
-    ranked = global_rank(scored, PROBABILITY, ID, "r", descending=False, stored=True)
+    ranked = global_rank(sound(scored), PROBABILITY, ID, "r", descending=False, stored=True)
     return ranked.select(
         ID,
         SNAPSHOT,

@@ -56,7 +56,7 @@ def _projection(train: DataFrame, include_channel: bool) -> tuple[dict[str, str]
     stats = train.agg(
         *[F.avg(F.expr(e)).alias(f"m_{n}") for n, e in scaled.items()],
         *[F.stddev_pop(F.expr(e)).alias(f"s_{n}") for n, e in scaled.items()],
-        *[F.mode(c).alias(f"b_{c}") for c in BINARY_FEATURES],
+        *[F.mode(c, deterministic=True).alias(f"b_{c}") for c in BINARY_FEATURES],
     ).first()
     for n, e in scaled.items():
         # a constant column keeps scale 1
@@ -65,10 +65,8 @@ def _projection(train: DataFrame, include_channel: bool) -> tuple[dict[str, str]
         inputs[f"bin_{c}"] = f"cast(coalesce({c}, {stats[f'b_{c}']}) as double)"
     used = [*NUMERIC_FEATURES, *BINARY_FEATURES]
     if include_channel:
-        counts = train.where("signup_channel is not null").groupBy("signup_channel").count()
-        # a channel below one row in 10,000 is left to the zero vector, which bounds the list
-        floor = train.count() / 10_000
-        channels = sorted(r[0] for r in counts.where(F.col("count") >= floor).collect())
+        # every channel of the training rows is a category; the list is as long as the channels are many
+        channels = sorted(r[0] for r in train.where("signup_channel is not null").select("signup_channel").distinct().collect())
         for ch in channels:
             quoted = ch.replace("\\", "\\\\").replace("'", "\\'")
             inputs[f"channel_{ch}"] = f"cast(coalesce(signup_channel, '') = '{quoted}' as double)"

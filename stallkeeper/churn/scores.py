@@ -26,7 +26,7 @@ def qcut_deciles(
 
 
 def risk_segment(decile: Column) -> Column:
-    return ladder(decile, (2, 5), ("high_risk", "medium_risk", "low_risk"))
+    return F.when(decile.isNotNull(), ladder(decile, (2, 5), ("high_risk", "medium_risk", "low_risk")))
 
 
 def recommended_action(segment: Column, spend: Column, returns: Column, discounts: Column, cutoff: Column) -> Column:
@@ -48,7 +48,10 @@ def score_output(
     model_name: str = MODEL_NAMES["behavioral"],
     model_version: str = MODEL_VERSION,
 ) -> DataFrame:
-    """The 22-column score table of a scored snapshot (a stored frame with ``churn_probability``)."""
+    """The 22-column score table of a scored snapshot (a stored frame with ``churn_probability``).
+
+    Every customer stays: one without a score has no decile, segment or flag, which ``validate_scores`` reports.
+    """
     cutoff = exact_quantile(scored, "lifetime_spend", HIGH_VALUE_QUANTILE, out="cutoff").scalar()
     cut = qcut_deciles(scored, "churn_probability", ID)
     cut = cut.withColumns({"risk_segment": risk_segment(F.col("risk_decile")), "_cutoff": cutoff})
@@ -57,7 +60,8 @@ def score_output(
         F.col("_cutoff"),
     )
     full = cut.withColumns({
-        "predicted_churn_flag": F.when(F.col("churn_probability") >= threshold, 1).otherwise(0),
+        "predicted_churn_flag": F.when(F.col("churn_probability") >= threshold, 1).when(
+            F.col("churn_probability") < threshold, 0),
         "lifetime_spend_missing_flag": F.when(F.col("lifetime_spend").isNull(), 1).otherwise(0),
         "recommended_action": action,
         "probability_threshold": F.lit(threshold),

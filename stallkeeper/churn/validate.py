@@ -41,6 +41,8 @@ def _count_rules(df: DataFrame, keys: Sequence[str], rules: Mapping[str, Column]
     row_counts = df.agg(
         (F.count("*") == 0).cast("bigint").alias("empty"), *[F.count_if(c).alias(n) for n, c in rules.items()]
     )
+    if not keys:
+        return _report(row_counts.withColumn("duplicate_key", F.lit(0).cast("bigint")), ["empty", "duplicate_key", *rules])
     repeated = duplicate_keys(df, keys).agg(F.sum(F.col("occurrences") - 1).alias("duplicate_key"))
     return _report(cross_combine(row_counts, repeated), ["empty", "duplicate_key", *rules])
 
@@ -83,8 +85,10 @@ def validate_split(df: DataFrame, features: Sequence[str] | None = None) -> Data
         "missing_column": len(required - set(df.columns)),
         "forbidden_feature": len(set(used) & set(FORBIDDEN_FEATURES)),
     }
-    rules = {"invalid_label": ~F.coalesce(F.col(LABEL).isin(0, 1), F.lit(False))}
-    checked = _count_rules(df, [ID, SNAPSHOT], rules)
+    # a missing label or key column is reported as such, and what needs it counts nothing
+    bad_label = ~F.coalesce(F.col(LABEL).isin(0, 1), F.lit(False)) if LABEL in df.columns else F.lit(False)
+    keys = [ID, SNAPSHOT] if {ID, SNAPSHOT} <= set(df.columns) else []
+    checked = _count_rules(df, keys, {"invalid_label": bad_label})
     lines = F.array(*[
         F.struct(F.lit(n).alias("rule"), F.lit(v).cast("bigint").alias("violations"), F.lit(v == 0).alias("passed"))
         for n, v in static.items()

@@ -46,9 +46,11 @@ def conform_schema(
     renames: Mapping[str, str] | None = None,
     added: Mapping[str, object] | Iterable[str] = (),
 ) -> DataFrame:
-    """Undo column renames and make sure late-added columns exist."""
+    """Undo column renames and make sure late-added columns exist; of an old and a new column the new value counts."""
     for old, new in (renames or {}).items():
-        if old in df.columns:
+        if old in df.columns and new in df.columns:
+            df = df.withColumn(new, F.coalesce(new, old)).drop(old)
+        elif old in df.columns:
             df = df.withColumnRenamed(old, new)
     defaults = dict(added) if isinstance(added, Mapping) else {c: None for c in added}
     missing = {

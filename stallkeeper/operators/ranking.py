@@ -35,7 +35,7 @@ def _bucketed(df: DataFrame, value: str, tie: Column | None, buckets: int) -> Da
     borders, hot = _borders(df, value, buckets)
     if borders:
         splits = [float("-inf"), *borders, float("inf")]
-        # skip drops rows without a value; callers keep those apart
+        # callers keep rows without a value apart
         cut = Bucketizer(splits=splits, inputCol=value, outputCol="_b", handleInvalid="skip")
         df = cut.transform(df)
     else:
@@ -52,12 +52,15 @@ def global_rank(
 ) -> DataFrame:
     """Adds the 1-based position by ``value`` and the row count as ``{out}_n``.
 
-    Equal values are ordered by md5 of the id, then the id. Rows whose value is NULL or NaN are dropped.
+    Equal values are ordered by md5 of the id, then the id. Rows whose value is NULL or NaN come back with a NULL
+    rank and count; the count is that of the ranked rows.
     The frame is read three times, so it is stored first unless the caller says it already is.
     """
     if not stored:
         df = cut_lineage(df)
-    signed = df.withColumn("_v", (-F.col(value) if descending else F.col(value)).cast("double"))
+    number = F.col(value).cast("double")
+    valid = number.isNotNull() & ~F.isnan(number)
+    signed = df.where(valid).withColumn("_v", -number if descending else number)
     signed = signed.withColumn("_h", F.md5(F.col(id_col).cast("string")))
     rows = _bucketed(signed, "_v", F.col("_h"), buckets)
     sizes = rows.groupBy("_b", "_t").agg(F.count("*").alias("_n"))
@@ -72,7 +75,9 @@ def global_rank(
     )
     inside = F.row_number().over(W.partitionBy("_b", "_t").orderBy("_v", "_h", id_col))
     ranked = rows.withColumn("_i", inside.cast("bigint")).join(F.broadcast(starts), ["_b", "_t"])
-    return ranked.withColumn(out, F.col("_start") + F.col("_i")).select(*df.columns, out, f"{out}_n")
+    placed = ranked.withColumn(out, F.col("_start") + F.col("_i")).select(*df.columns, out, f"{out}_n")
+    none = F.lit(None).cast("bigint")
+    return placed.unionByName(df.where(~valid).withColumns({out: none, f"{out}_n": none}))
 
 
 def running_sums(
@@ -130,14 +135,14 @@ def exact_quantile(
 
 
 def qcut_decile(rank: Column, n: Column, parts: int = 10) -> Column:
-    """Part of an evenly cut rank scale, lower edges open: ceil((rank - 1) * parts / (n - 1)), at least 1."""
+    """Part of an evenly cut rank scale, lower edges open: ceil((rank - 1) * parts / (n - 1)), at least 1; NULL without a rank."""
     step = F.ceil((rank - 1) * F.lit(float(parts)) / F.nullif(n - 1, F.lit(0)))
-    return F.greatest(F.coalesce(step, F.lit(1)), F.lit(1)).cast("bigint")
+    return F.when(rank.isNotNull(), F.greatest(F.coalesce(step, F.lit(1)), F.lit(1)).cast("bigint"))
 
 
 def pct_rank_decile(rank: Column, n: Column, parts: int = 10) -> Column:
     part = F.ceil(rank / n * F.lit(float(parts)))
-    return F.least(F.greatest(part, F.lit(1)), F.lit(parts)).cast("bigint")
+    return F.when(rank.isNotNull(), F.least(F.greatest(part, F.lit(1)), F.lit(parts)).cast("bigint"))
 
 
 def ntile(rank: Column, n: Column, parts: int) -> Column:
