@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallkeeper.session import cut_lineage
+
 DICTIONARY_MAGIC = 0x184D2A5D
 EMPTY_FRAME = "P*M\x18\0\0\0\0"  # skippable frame 0x184D2A50 of length 0
 REVISIT_BYTES = 1000
@@ -73,8 +75,9 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_
         F.col(id_column).cast("long").alias("page"), F.col(url_column).cast("string").alias("url"), payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("size"), F.unhex(F.sha1(payload)).alias("digest"),
         F.unhex(F.sha2(payload, 256)).alias("k"))
-    keys = rows.where(F.col("size") >= revisit_bytes).groupBy(F.col("k").alias("key"), F.col("size").alias("bytes")).agg(
-        F.max("page").alias("response"), F.count("*").alias("n")).where("n > 1 AND response IS NOT NULL").drop("n")
+    # stored, so that its size is known and a payload with very many pages can be split over tasks
+    keys = cut_lineage(rows.where(F.col("size") >= revisit_bytes).groupBy(F.col("k").alias("key"), F.col("size").alias("bytes")).agg(
+        F.max("page").alias("response"), F.count("*").alias("n")).where("n > 1 AND response IS NOT NULL").drop("n"))
     known = rows.join(keys, (rows["k"] == keys["key"]) & (rows["size"] == keys["bytes"]), "left")
     refers = F.when(~F.col("page").eqNullSafe(F.col("response")), F.col("response"))
     ready = known.select("page", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "size", "digest", refers.alias("refers"))
