@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from stallkeeper.llm import bytewords
 from stallkeeper.llm.texts import text_of
+from stallkeeper.session import cut_lineage
 
 SAMPLE_DOCS = 2000
 SAMPLE_LINES = 60_000
@@ -188,15 +189,13 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                     [part.column("h"), part.column("label"),
                      pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())], names=["h", "label", "x"])
 
-    found = texts.mapInArrow(features, "h long, label int, x binary")
-    upto = sorted(((r["h"], r["label"], np.frombuffer(r["x"], np.float32).reshape(-1, 3 * OWN)) for r in found.toLocalIterator()),
-                  key=lambda r: r[:2])
-    kept, lines = [], 0
-    for _, label, x in upto:
-        lines += len(x)
-        if lines > sample_lines:
-            break
-        kept.append((label, x))
+    # stored first: all partitions are read at once, and the driver learns the sizes before it takes any features
+    found = cut_lineage(texts.mapInArrow(features, "h long, label int, x binary"))
+    sizes = found.groupBy("h").agg(F.sum(F.octet_length("x") / F.lit(12 * OWN)).cast("long").alias("n")).orderBy("h").collect()
+    upto = np.searchsorted(np.cumsum([r["n"] for r in sizes]), sample_lines, "right")
+    taken = found.where(F.col("h") <= sizes[upto - 1]["h"]) if upto else found.limit(0)
+    kept = sorted(((r["h"], r["label"], bytes(r["x"])) for r in taken.toLocalIterator()))
+    kept = [(label, np.frombuffer(x, np.float32).reshape(-1, 3 * OWN)) for _, label, x in kept]
     doc = np.repeat(np.arange(len(kept)), [len(x) for _, x in kept]) if kept else np.empty(0, np.int64)
     good = np.repeat([label for label, _ in kept], [len(x) for _, x in kept]) if kept else np.empty(0, np.int64)
     return fit(np.concatenate([x for _, x in kept]) if kept else np.empty((0, 3 * OWN), np.float32), doc, good)
