@@ -326,11 +326,13 @@ def train(docs: DataFrame, words: Vocabulary, id_column: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array(
                 [words.slots(split_words(t.as_py()))[0].astype(np.int32).tobytes() for t in batch.column("text")], pa.binary())], names=["slots"])
 
-    # the sample is made of the smallest hashes; ids and hashes are sorted, texts are not
-    chosen = rows.select("id", F.xxhash64("text").alias("h")).orderBy("h", "id").limit(sample_docs).select("h")
-    sample = rows.join(F.broadcast(chosen.distinct()), F.xxhash64("text") == F.col("h")).select("text").mapInArrow(slots, "slots binary")
+    # the sample is made of the smallest hashes; ids and hashes are sorted, whole texts are not. It is stored before the
+    # driver reads it, so that all partitions are searched at once
+    mark = F.xxhash64("id", "text")
+    chosen = rows.select(mark.alias("h")).distinct().orderBy("h").limit(sample_docs)
+    sample = rows.join(F.broadcast(chosen), mark == F.col("h")).select("text").mapInArrow(slots, "slots binary")
     texts, held = [], 0
-    for r in sample.toLocalIterator():
+    for r in cut_lineage(sample).orderBy(F.xxhash64("slots"), "slots").toLocalIterator():
         texts.append(np.frombuffer(r["slots"], np.int32).astype(np.int64))
         held += len(texts[-1])
         if held > sample_words:
