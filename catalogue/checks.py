@@ -1,11 +1,15 @@
 """Reconciliation, profiles, data checks and join operators."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+
 from catalogue import testbed as tb
 from catalogue.registry import Market, register
 from catalogue.sqlbase import big, cte, pct, ratio, usd
 from stallkeeper.functions.text import NULL_TOKENS
 from stallkeeper.operators import clean, dims, joins, profile, reconcile
-from stallkeeper.operators.checks import check_accepted, check_fk, check_not_null, check_summary, check_unique, run_checks
+from stallkeeper.operators.checks import check_accepted, check_fk, check_not_null, check_unique, run_checks
 from stallkeeper.operators.dedupe import duplicate_keys, duplicate_summary
 from stallkeeper.plans import suite
 from stallkeeper.sources import io
@@ -173,9 +177,13 @@ for table, columns in DRIFTED.items():
     )
 register(
     "type_drift_samples",
-    lambda m: profile.type_drift_samples(m.raw["orders"], "total_amount"),
-    """SELECT total_amount AS sample, count(*) AS occurrences FROM dirty_orders
-WHERE total_amount NOT GLOB '[0-9]*' AND total_amount NOT GLOB '-[0-9]*' GROUP BY 1 ORDER BY 1 LIMIT 5""",
+    lambda m: reduce(DataFrame.union, [profile.type_drift_samples(m.raw[t], c) for t, c in DRIFTED.items()]),
+    'SELECT "column", sample, occurrences FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY sample) AS place FROM ('
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {c} AS sample, count(*) AS occurrences FROM dirty_{t} "
+        f"WHERE {c} NOT GLOB '[0-9]*' AND {c} NOT GLOB '-[0-9]*' GROUP BY {c}"
+        for t, columns in DRIFTED.items() for c in columns
+    ) + ")) WHERE place <= 5",
 )
 register(
     "late_arrivals",
@@ -254,13 +262,15 @@ register(
         "order_id", "left"),
     "SELECT o.order_id, order_status, status FROM raw_orders o LEFT JOIN shipments s ON o.order_id = s.order_id",
 )
-register(
-    "dim_dates",
-    lambda m: dims.dim_dates(
+def dim_dates(m: Market):
+    """The calendar of the years in which orders were placed."""
+    return dims.dim_dates(
         m.spark, *m.bed.read("orders").selectExpr(
             "cast(date_trunc('year', min(o_orderdate)) as date)",
-            "last_day(add_months(cast(date_trunc('year', max(o_orderdate)) as date), 11))").first()),
-    """
+            "last_day(add_months(cast(date_trunc('year', max(o_orderdate)) as date), 11))").first())
+
+
+cte("dim_dates", """
 SELECT d AS date_day, year(d) AS year, quarter(d) AS quarter, month(d) AS month, weekofyear(d) AS week_of_year,
   dayofweek(d) AS day_of_week, dayofyear(d) AS day_of_year, strftime(d, '%B') AS month_name,
   strftime(d, '%A') AS day_name, strftime(d, '%Y-%m') AS year_month,
@@ -270,8 +280,8 @@ SELECT d AS date_day, year(d) AS year, quarter(d) AS quarter, month(d) AS month,
     WHEN month(d) IN (7, 8) THEN 'summer_dip' ELSE 'normal' END AS season_label
 FROM (SELECT CAST(unnest(generate_series(date_trunc('year', min(o_orderdate)),
     date_trunc('year', max(o_orderdate)) + INTERVAL 1 YEAR - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM orders)
-""",
-)
+""")
+register("dim_dates", dim_dates, "SELECT * FROM dim_dates")
 
 # --- checks ---
 LAYERS = {
@@ -279,6 +289,7 @@ LAYERS = {
     "bronze_sellers": "sellers", "bronze_products": "products", "bronze_returns": "returns",
     **{f"silver_{t}": f"silver_{t}" for t in ("customers", "orders", "order_items", "payments", "shipments", "reviews")},
     "silver_sellers": "sellers", "silver_products": "products", "silver_returns": "returns",
+    "dim_dates": "dim_dates",
     **{t: f"fixed_{t}" for t in ("dim_customers", "dim_sellers", "dim_products", "fact_orders", "fact_order_items",
                                  "mart_gmv_daily", "mart_customer_ltv", "mart_seller_health")},
 }
@@ -288,7 +299,9 @@ def checked_tables(m: Market) -> tb.LazyTables:
     def build(name: str):
         layer, _, rest = name.partition("_")
         if layer in ("bronze", "silver"):
-            return (m.arrived if layer == "bronze" else m.silver)[rest]
+            return (m.arrived if layer == "bronze" else m.silver_stored)[rest]
+        if name == "dim_dates":
+            return dim_dates(m)
         return getattr(m.repaired_stored, name)
     return tb.LazyTables(tuple(LAYERS), build)
 
@@ -318,7 +331,6 @@ def suite_sql(checks, extra: list[str] | None = None) -> str:
     return rule_sql_for(checks, LAYERS, extra or [])
 
 
-NO_DATES = [c for c in suite.gold_suite() if c.table != "dim_dates"]
 SPECIAL = [
     result_sql("non_negative_mart_gmv_daily_gmv", "mart_gmv_daily", "error",
                "SELECT count(*) AS n FROM fixed_mart_gmv_daily WHERE gmv_cents < 0"),
@@ -346,13 +358,11 @@ register(
     suite_sql(suite.silver_suite(REGIONS)),
 )
 register(
-    "checks_gold", lambda m: run_checks(checked_tables(m), NO_DATES, special(m)), suite_sql(NO_DATES, SPECIAL)
-)
-register(
-    "checks_summary",
-    lambda m: check_summary(run_checks(checked_tables(m), suite.raw_suite() + suite.silver_suite(REGIONS))),
-    f"SELECT status, count(*) AS checks FROM ({suite_sql(suite.raw_suite() + suite.silver_suite(REGIONS))}) GROUP BY status",
+    "checks_gold",
+    lambda m: run_checks(checked_tables(m), suite.gold_suite(), special(m)),
+    suite_sql(suite.gold_suite(), SPECIAL),
 )
+EVERY_LAYER = suite.raw_suite() + suite.silver_suite(REGIONS) + suite.gold_suite()
 register(
     "check_not_null_total",
     lambda m: check_not_null(m.silver["orders"], "total_amount").select("order_id", "order_number"),

@@ -6,7 +6,7 @@ from catalogue.registry import register
 from catalogue.sqlbase import cte, hash_bucket, rnd
 from stallkeeper.functions import show_money
 from stallkeeper.functions.text import NULL_TOKENS, PLAIN_NUMBER
-from stallkeeper.operators import faults as f
+from catalogue import dirt as f
 from stallkeeper.operators.dedupe import near_duplicates
 from stallkeeper.plans import silver as s
 

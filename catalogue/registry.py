@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catalogue import testbed as tb
 from catalogue.sqlbase import sql as assemble
-from stallkeeper.operators.faults import DIRTY_TABLES, dirty_table
+from catalogue.dirt import DIRTY_TABLES, dirty_table
 from stallkeeper.plans.gold import Gold
 from stallkeeper.plans.silver import BUILDERS
 from stallkeeper.session import cut_lineage

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogue import testbed as tb
-from catalogue.checks import LAYERS, result_sql, rule_sql_for
+from catalogue.checks import EVERY_LAYER, LAYERS, SPECIAL, checked_tables, result_sql, rule_sql_for, special, suite_sql
 from catalogue.churn import BASE, DATES, rule_sql
 from catalogue.registry import Market, register
 from catalogue.sqlbase import big, cents, cte, hash_bucket, mean_usd, pct, rnd, usd
@@ -24,7 +24,7 @@ from stallkeeper.churn import validate as v
 from stallkeeper.churn.config import MODEL_NAMES, SCORE_THRESHOLD
 from stallkeeper.functions import hash_bucket as bucket
 from stallkeeper.functions import rnd as round_to
-from stallkeeper.operators.checks import run_checks
+from stallkeeper.operators.checks import check_summary, run_checks
 from stallkeeper.operators.ranking import exact_quantile, global_rank
 from stallkeeper.plans import retention as r
 from stallkeeper.plans import suite
@@ -329,18 +329,27 @@ def score_checks(m: Market) -> DataFrame:
 
 
 LAYERS_SCORED = {**LAYERS, "scores": "score_rows", "dim_customers": "dim_customers"}
+SCORE_CHECKS_SQL = rule_sql_for(suite.score_suite(), LAYERS_SCORED, [
+    result_sql("flag_matches_scores_lifetime_spend_missing_flag", "scores", "error",
+               "SELECT count(*) AS n FROM score_rows WHERE (lifetime_spend IS NULL) <> (lifetime_spend_missing_flag = 1)"),
+    result_sql("in_unit_range_scores_churn_probability", "scores", "error",
+               "SELECT count(*) AS n FROM score_rows WHERE churn_probability IS NULL OR churn_probability NOT BETWEEN 0 AND 1"),
+    result_sql("matches_decile_scores_risk_segment", "scores", "error",
+               "SELECT count(*) AS n FROM score_rows WHERE risk_segment <> CASE WHEN risk_decile <= 2 THEN 'high_risk' "
+               "WHEN risk_decile <= 5 THEN 'medium_risk' ELSE 'low_risk' END"),
+])
+register("checks_scores", score_checks, SCORE_CHECKS_SQL)
+
+
+def all_checks(m: Market) -> DataFrame:
+    """Every check of every layer."""
+    return run_checks(checked_tables(m), EVERY_LAYER, special(m)).unionByName(score_checks(m))
+
+
 register(
-    "checks_scores",
-    score_checks,
-    rule_sql_for(suite.score_suite(), LAYERS_SCORED, [
-        result_sql("flag_matches_scores_lifetime_spend_missing_flag", "scores", "error",
-                   "SELECT count(*) AS n FROM score_rows WHERE (lifetime_spend IS NULL) <> (lifetime_spend_missing_flag = 1)"),
-        result_sql("in_unit_range_scores_churn_probability", "scores", "error",
-                   "SELECT count(*) AS n FROM score_rows WHERE churn_probability IS NULL OR churn_probability NOT BETWEEN 0 AND 1"),
-        result_sql("matches_decile_scores_risk_segment", "scores", "error",
-                   "SELECT count(*) AS n FROM score_rows WHERE risk_segment <> CASE WHEN risk_decile <= 2 THEN 'high_risk' "
-                   "WHEN risk_decile <= 5 THEN 'medium_risk' ELSE 'low_risk' END"),
-    ]),
+    "checks_summary",
+    lambda m: check_summary(all_checks(m)),
+    f"SELECT status, count(*) AS checks FROM ({suite_sql(EVERY_LAYER, SPECIAL)} UNION ALL {SCORE_CHECKS_SQL}) GROUP BY status",
 )
 
 # --- the trained model ---

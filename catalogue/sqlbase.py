@@ -228,5 +228,5 @@ SELECT 'V-' || item_hash AS review_id, 'O' || l_orderkey AS order_id, item_hash
   {pick(['Très bien', 'Muy fácil', 'Good', 'Não é bom'], 'l_partkey')} AS title, 'Opinião ' || l_orderkey AS review_text,
   l_partkey % 4 <> 0 AS is_verified_purchase, l_partkey % 9 AS helpful_votes, l_partkey % 9 + 3 AS total_votes,
   delivered_at + to_days(5) AS submitted_at, delivered_at + to_days(5) AS created_at, delivered_at + to_days(5) AS updated_at
-FROM delivered_lines WHERE (l_orderkey + l_partkey) % 7 = 0
+FROM delivered_lines
 """)

@@ -1,6 +1,6 @@
 """Declarative data checks: a check is a query for violating rows.
 
-Row checks of one table share a single scan; uniqueness and references need one grouping or anti join.
+Row checks of one table share a single scan, and so do its uniqueness checks; each reference needs an anti join.
 """
 
 from __future__ import annotations
@@ -66,6 +66,13 @@ def _result(c: Check, n: Column) -> Column:
     )
 
 
+def _repeated(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``n0, n1, ...``: how many values of each column occur more than once, in one scan and one shuffle."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])
+    values = df.select(F.inline(cells)).where("v IS NOT NULL").groupBy("i", "v").agg(F.count("*").alias("n"))
+    return values.where("n > 1").agg(*[F.count_if(F.col("i") == i).alias(f"n{i}") for i in range(len(cols))])
+
+
 def run_checks(
     tables: Mapping[str, DataFrame], suite: Sequence[Check], queries: Mapping[Check, DataFrame] | None = None
 ) -> DataFrame:
@@ -81,13 +88,12 @@ def run_checks(
             counts = tables[table].agg(*[F.count_if(rule).alias(f"n{i}") for i, (_, rule) in enumerate(by_row)])
             lines = F.array(*[_result(c, F.col(f"n{i}")) for i, (c, _) in enumerate(by_row)])
             parts.append(counts.select(F.inline(lines)))
-        for c in mine:
-            if c.kind == "unique":
-                bad = check_unique(tables[table], c.column)
-            elif c.kind == "relationship":
-                bad = check_fk(tables[table], c.column, tables[c.to[0]], c.to[1])
-            else:
-                continue
+        unique = [c for c in mine if c.kind == "unique"]
+        if unique:
+            counts = _repeated(tables[table], [c.column for c in unique])
+            parts.append(counts.select(F.inline(F.array(*[_result(c, F.col(f"n{i}")) for i, c in enumerate(unique)]))))
+        for c in (c for c in mine if c.kind == "relationship"):
+            bad = check_fk(tables[table], c.column, tables[c.to[0]], c.to[1])
             parts.append(bad.agg(F.count("*").alias("n")).select(F.inline(F.array(_result(c, F.col("n"))))))
     for c, bad in (queries or {}).items():
         parts.append(bad.agg(F.count("*").alias("n")).select(F.inline(F.array(_result(c, F.col("n"))))))

@@ -28,13 +28,24 @@ def eligible(df: DataFrame, status: str = "order_status") -> DataFrame:
 
 
 def lookup(dim: DataFrame, key: str, renamed: dict[str, str]) -> DataFrame:
-    """One row per key with the wanted columns.
+    """One row per key with the wanted columns, and a hash of the key as ``_{key}_mark``; see ``look_up``.
 
     Grouping states the dimension's key to the optimizer: a left join to it disappears from every plan
     that uses none of its columns, which saves shuffling the whole fact.
     """
     row = F.max(F.struct(*[F.col(c).alias(name) for c, name in renamed.items()])).alias("_row")
-    return dim.groupBy(F.col(key).alias(f"_{key}")).agg(row).select(f"_{key}", "_row.*")
+    keyed = dim.groupBy(F.col(key).alias(f"_{key}")).agg(row)
+    return keyed.select(f"_{key}", F.xxhash64(f"_{key}").alias(f"_{key}_mark"), "_row.*")
+
+
+def look_up(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Left join to a ``lookup`` on its key and mark.
+
+    The mark adds nothing to the match, but the grouped side is not partitioned by it and so gets an exchange of its
+    own right below the join, without which adaptive execution cannot split a hot key of the fact.
+    """
+    same = (F.col(key) == F.col(f"_{key}")) & (F.xxhash64(key) == F.col(f"_{key}_mark"))
+    return df.join(found, same, "left")
 
 
 def fact_orders(orders: DataFrame, dim_customers: DataFrame) -> DataFrame:
@@ -43,7 +54,7 @@ def fact_orders(orders: DataFrame, dim_customers: DataFrame) -> DataFrame:
         "customer_id",
         {"_id": "_known_id", "segment": "_segment", "signup_cohort": "_cohort", "country_code": "_country"},
     )
-    joined = orders.join(known, F.col("customer_id") == F.col("_customer_id"), "left")
+    joined = look_up(orders, known, "customer_id")
     return joined.select(
         "order_id",
         "order_number",
@@ -117,13 +128,9 @@ def fact_order_items(
     orders = orders_fact.select(
         F.col("order_id").alias("_order_id"), "order_date", "region", "customer_segment", "order_status", "customer_id"
     )
-    return (
-        item_money(items)
-        .join(products, F.col("product_id") == F.col("_product_id"), "left")
-        .join(sellers, F.col("seller_id") == F.col("_seller_id"), "left")
-        .join(orders, F.col("order_id") == F.col("_order_id"), "left")
-        .drop("_product_id", "_seller_id", "_order_id")
-    )
+    named = look_up(look_up(item_money(items), products, "product_id"), sellers, "seller_id")
+    keys = [f"_{k}{end}" for k in ("product_id", "seller_id") for end in ("", "_mark")]
+    return named.join(orders, F.col("order_id") == F.col("_order_id"), "left").drop(*keys, "_order_id")
 
 
 def margin_cents() -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallkeeper.functions import NULL_TOKENS, count_if, pct, ratio
@@ -65,11 +65,14 @@ def type_drift(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return counts.select(F.inline(lines))
 
 
-def type_drift_samples(df: DataFrame, col: str, k: int = 5) -> DataFrame:
-    drifted = df.where(_not_number(F.col(col).cast("string"))).groupBy(F.col(col).alias("sample")).agg(
+def type_drift_samples(df: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame:
+    """The first ``k`` values of each column that do not start like a number, with their row counts."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("sample")) for c in cols])
+    drifted = df.select(F.inline(cells)).where(_not_number(F.col("sample"))).groupBy("column", "sample").agg(
         F.count("*").alias("occurrences")
     )
-    return drifted.orderBy("sample").limit(k)
+    place = F.row_number().over(Window.partitionBy("column").orderBy("sample"))
+    return drifted.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
 def late_arrival_profile(df: DataFrame, delay_col: str = "_ingestion_delay_days") -> DataFrame:

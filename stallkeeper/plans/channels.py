@@ -127,8 +127,10 @@ def first_purchase_category(
     items = fact_items.where(
         (F.col("quantity") > 0) & F.col("unit_price_cents").isNotNull() & F.col("category").isNotNull()
     ).select("order_id", "category", F.struct((-value).alias("v"), "order_item_id").alias("place"))
-    best = items.groupBy("order_id").agg(F.min_by("category", "place").alias("first_purchase_category"))
-    grouped = firsts.join(best, "order_id").groupBy("signup_channel", "first_purchase_category").agg(
+    # only items of first orders are ranked
+    best = firsts.select("customer_id", "signup_channel", "order_id").join(items, "order_id").groupBy(
+        "order_id", "customer_id", "signup_channel").agg(F.min_by("category", "place").alias("first_purchase_category"))
+    grouped = best.groupBy("signup_channel", "first_purchase_category").agg(
         F.count("*").alias("customers")
     )
     return share_of_total(grouped, "customers", "pct_of_channel_customers", ["signup_channel"])

@@ -51,6 +51,10 @@ class Gold:
     def dim_products(self) -> DataFrame:
         return dims.dim_products(self.tables["products"])
 
+    @cached_property
+    def dim_dates(self) -> DataFrame:
+        return dims.dim_dates(self.tables["orders"].sparkSession)
+
     @cached_property
     def fact_orders(self) -> DataFrame:
         orders = conform_schema(self.tables["orders"], added=SILVER_ORDER_FLAGS)

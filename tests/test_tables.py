@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stallkeeper.operators import checks, clean, joins, profile
+from stallkeeper.operators import checks, clean, facts, joins, profile
 from stallkeeper.operators.dedupe import dedupe, duplicate_summary, near_duplicates
 from stallkeeper.operators.ranking import exact_quantile, global_rank, ntile, pct_rank_decile, qcut_decile, running_sums
 from stallkeeper.sources import io
@@ -185,3 +185,27 @@ def test_sources_and_sinks(spark, tmp_path):
     assert described == {"k": ("string", 2), "v": ("int", 2)}
     loose = spark.createDataFrame([], score_schema()).withColumn("total_orders", F.lit(1).cast("bigint"))
     assert io.conform_scores(loose).dtypes == [(f.name, f.dataType.simpleString()) for f in score_schema()]
+
+
+def test_hot_customer_is_split_and_unused_dimensions_are_not_joined(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, value in settings.items():
+        spark.conf.set(k, value)
+    try:
+        facts_in = spark.range(0, 20000, 1, 16).selectExpr("id", "if(id % 2 = 0, 7L, id) as customer_id", "md5(string(id)) as filler")
+        dim = spark.range(0, 20000, 1, 4).selectExpr("id as customer_id", "concat('n', id) as name")
+        joined = facts.look_up(facts_in, facts.lookup(dim, "customer_id", {"name": "name"}), "customer_id")
+        kept = joined.selectExpr("id", "filler", "name")
+        assert kept.where("name is null").count() == 0
+        kept.collect()
+        assert "skew=true" in kept._jdf.queryExecution().executedPlan().toString()
+        unused = joined.groupBy().sum("id")
+        assert "Join" not in unused._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
