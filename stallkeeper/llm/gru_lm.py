@@ -124,54 +124,70 @@ class Gru:
         """States before each step's word is seen, for inputs (documents x steps); also the last state, at the end."""
         x, u, n = self.w["x"], self.w["u"], HIDDEN
         out = np.empty((inputs.shape[1], *h.shape), np.float32)
-        for t in range(inputs.shape[1]):
-            g = x[inputs[:, t]]
+        for t, seen in enumerate(np.ascontiguousarray(inputs.T)):
+            g = x[seen]
             a = h @ u
-            rz = 1 / (1 + np.exp(-(g[:, : 2 * n] + a[:, : 2 * n])))
+            rz = g[:, : 2 * n] + a[:, : 2 * n]
+            np.exp(np.negative(rz, out=rz), out=rz)
+            rz += 1
+            np.reciprocal(rz, out=rz)
             r, z = rz[:, :n], rz[:, n:]
-            new = np.tanh(g[:, 2 * n :] + r * a[:, 2 * n :])
+            new = r * a[:, 2 * n :]
+            new += g[:, 2 * n :]
+            np.tanh(new, out=new)
             if keep is not None:
                 keep.append((h, r, z, new, a[:, 2 * n :]))
-            h = new + z * (h - new)
-            out[t] = h
+            h = np.subtract(h, new, out=out[t])
+            h *= z
+            h += new
         return out
 
     def log_probs(self, h: np.ndarray, slot: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """log p(class) + log p(slot | class) for each state; with grads, adds the loss's gradients and returns that of h."""
-        w, cls = self.w, self.cls[slot]
-        c = h @ w["c"] + w["bc"]
+        w, order = self.w, np.argsort(self.cls.astype(np.int16)[slot], kind="stable")
+        h, slot = h[order], slot[order]  # the states of a class lie together
+        cls = self.cls[slot]
+        rows = np.arange(len(h))
+        c = h @ w["c"]
+        c += w["bc"]
         c -= c.max(1, keepdims=True)
-        e = np.exp(c)
+        mine = c[rows, cls]
+        e = np.exp(c, out=c)
         total = e.sum(1)
-        rows = np.arange(len(h))
-        out = c[rows, cls] - np.log(total)
+        logs = mine - np.log(total)
         back = None
         if grads is not None:
-            p = e / total[:, None]
-            p[rows, cls] -= 1
-            grads["c"] += h.T @ p
-            grads["bc"] += p.sum(0)
-            back = p @ w["c"].T
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+            e /= total[:, None]
+            e[rows, cls] -= 1
+            grads["c"] += h.T @ e
+            grads["bc"] += e.sum(0)
+            back = e @ w["c"].T
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
         for k in range(CLASSES):
-            at = order[edges[k] : edges[k + 1]]
-            if not len(at):
+            a, b = edges[k], edges[k + 1]
+            if a == b:
                 continue
             low, high = self.start[k], self.start[k + 1]
-            hk = h[at]
-            s = hk @ w["s"][:, low:high] + w["bs"][low:high]
+            s = h[a:b] @ w["s"][:, low:high]
+            s += w["bs"][low:high]
             s -= s.max(1, keepdims=True)
-            e = np.exp(s)
+            i, at = rows[: b - a], slot[a:b] - low
+            mine = s[i, at]
+            e = np.exp(s, out=s)
             total = e.sum(1)
-            i = np.arange(len(at))
-            out[at] += s[i, slot[at] - low] - np.log(total)
+            logs[a:b] += mine - np.log(total)
             if grads is not None:
-                p = e / total[:, None]
-                p[i, slot[at] - low] -= 1
-                grads["s"][:, low:high] += hk.T @ p
-                grads["bs"][low:high] += p.sum(0)
-                back[at] += p @ w["s"][:, low:high].T
+                e /= total[:, None]
+                e[i, at] -= 1
+                grads["s"][:, low:high] += h[a:b].T @ e
+                grads["bs"][low:high] += e.sum(0)
+                back[a:b] += e @ w["s"][:, low:high].T
+        out = np.empty_like(logs)
+        out[order] = logs
+        if back is not None:
+            unsorted = np.empty_like(back)
+            unsorted[order] = back
+            back = unsorted
         return out, back
 
     def train(self, texts: list[np.ndarray], width: int = 128, rate: float = 0.08) -> None:
