@@ -79,8 +79,8 @@ class Vocabulary:
     def tail_slot(self, classes):
         return self.slot_start[np.asarray(classes) + 1] - 1
 
-    def slots(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Slot and place in the head (-1: not there) of each word and the end, and the words outside the head."""
+    def slots(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Slot and place in the head (-1: not there) of each word and the end; the words outside the head, and their classes."""
         get = self.head.get
         at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         at = np.append(at, self.head[END])
@@ -91,9 +91,9 @@ class Vocabulary:
         rest = known & ~front
         slot[rest] = self.tail_slot(self.head_class[at[rest]])
         out = [words[i] for i in np.flatnonzero(~known)]
-        if out:
-            slot[~known] = self.tail_slot([word_class(w) for w in out])
-        return slot, at, out
+        classes = np.fromiter(map(word_class, out), np.int64, len(out))
+        slot[~known] = self.tail_slot(classes)
+        return slot, at, out, classes
 
 
 class Gru:
@@ -103,7 +103,7 @@ class Gru:
         rng = np.random.default_rng(seed)
         v, slots = vocabulary, int(vocabulary.slot_start[-1])
         normal = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        self.start, self.cls = v.slot_start, v.slot_class
+        self.start, self.cls, self.cls16 = v.slot_start, v.slot_class, v.slot_class.astype(np.int16)
         self.w = {
             "x": normal(slots + 1, 3 * HIDDEN), "u": normal(HIDDEN, 3 * HIDDEN), "c": normal(HIDDEN, CLASSES) * 0,
             "s": normal(HIDDEN, slots) * 0, "bc": np.zeros(CLASSES, np.float32), "bs": np.zeros(slots, np.float32),
@@ -144,16 +144,30 @@ class Gru:
 
     def log_probs(self, h: np.ndarray, slot: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """log p(class) + log p(slot | class) for each state; with grads, adds the loss's gradients and returns that of h."""
-        w, order = self.w, np.argsort(self.cls.astype(np.int16)[slot], kind="stable")
-        h, slot = h[order], slot[order]  # the states of a class lie together
-        cls = self.cls[slot]
+        order = self.by_class(slot)
+        logs, back = self._sorted_log_probs(h[order], slot[order], grads)
+        undo = np.empty_like(order)
+        undo[order] = np.arange(len(order))
+        return logs[undo], None if back is None else back[undo]
+
+    def by_class(self, slot: np.ndarray) -> np.ndarray:
+        """An order in which the slots of a class lie together."""
+        return np.argsort(self.cls16[slot], kind="stable")
+
+    def _sorted_log_probs(self, h: np.ndarray, slot: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
+        w, cls = self.w, self.cls[slot]
+        # states lie within -1 and 1, so most weights cannot overflow an exponential and need no shift by the maximum
+        bound = max(float(np.abs(w[b]).max() + np.abs(w[a]).sum(0).max()) for a, b in (("c", "bc"), ("s", "bs")))
+        shift = bound > 80 or bool(np.abs(h).max(initial=0) > 1)
+        ones = np.ones(max(CLASSES, int(np.diff(self.start).max())), h.dtype)
         rows = np.arange(len(h))
         c = h @ w["c"]
         c += w["bc"]
-        c -= c.max(1, keepdims=True)
+        if shift:
+            c -= c.max(1, keepdims=True)
         mine = c[rows, cls]
         e = np.exp(c, out=c)
-        total = e.sum(1)
+        total = e @ ones[:CLASSES]
         logs = mine - np.log(total)
         back = None
         if grads is not None:
@@ -170,11 +184,12 @@ class Gru:
             low, high = self.start[k], self.start[k + 1]
             s = h[a:b] @ w["s"][:, low:high]
             s += w["bs"][low:high]
-            s -= s.max(1, keepdims=True)
+            if shift:
+                s -= s.max(1, keepdims=True)
             i, at = rows[: b - a], slot[a:b] - low
             mine = s[i, at]
             e = np.exp(s, out=s)
-            total = e.sum(1)
+            total = e @ ones[: high - low]
             logs[a:b] += mine - np.log(total)
             if grads is not None:
                 e /= total[:, None]
@@ -182,13 +197,7 @@ class Gru:
                 grads["s"][:, low:high] += h[a:b].T @ e
                 grads["bs"][low:high] += e.sum(0)
                 back[a:b] += e @ w["s"][:, low:high].T
-        out = np.empty_like(logs)
-        out[order] = logs
-        if back is not None:
-            unsorted = np.empty_like(back)
-            unsorted[order] = back
-            back = unsorted
-        return out, back
+        return logs, back
 
     def train(self, texts: list[np.ndarray], width: int = 128, rate: float = 0.08) -> None:
         """One pass of truncated backpropagation: ``width`` texts side by side, the state carried between windows."""
@@ -262,10 +271,12 @@ class Gru:
                 steps = int(min(WINDOW, length[0] - at))
                 inputs, target, inside = self._inputs(flat, begin[:live], length[:live], at, steps)
                 out = self.states(inputs, h[:live])
-                mask = inside.T
-                logs, _ = self.log_probs(out[mask], target.T[mask])
-                who = np.broadcast_to(np.arange(live), mask.shape)[mask]
-                result[part] += np.bincount(who, logs, len(part))
+                place = np.flatnonzero(inside.T)
+                slot = target.T.ravel()[place]
+                sort = self.by_class(slot)
+                place = place[sort]
+                logs, _ = self._sorted_log_probs(out.reshape(-1, HIDDEN)[place], slot[sort], None)
+                result[part] += np.bincount(place % live, logs, len(part))
                 h = out[-1]
         return result
 
@@ -292,10 +303,8 @@ def count_words(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         held: Counter = Counter()
 
         def flush():
-            words = list(held)
             out = pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array([word_class(w) for w in words], pa.int32()), pa.array(list(held.values()), pa.int64())],
-                names=["word", "cls", "n"])
+                [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
             held.clear()
             return out
 
@@ -308,7 +317,8 @@ def count_words(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         yield flush()
 
     rows = _rows(docs, id_column, text_column).where("seen").select("text")
-    return rows.mapInArrow(count, "word binary, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return sums.select("word", F.pmod(F.crc32(F.substring("word", 1, 3)), F.lit(CLASSES)).cast("int").alias("cls"), "n")  # word_class
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -400,6 +410,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     base = np.log10((words.counts + 0.5) / scale)
     tail = np.log10((words.counts + 0.5) / words.mass[words.head_class])
     tail[:SLOTS] = 0
+    far, seen_words = np.log10(words.mass), words.counts > 0
     long, real = T.LongType(), T.DoubleType()
     other = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", long)]))
     fields = [rows.schema["id"], rows.schema["seen"], *(T.StructField(c, long) for c in ("n_tokens", "n_known")),
@@ -421,10 +432,9 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         for batch in batches:
             texts, found, others, begin, held = [], [], [], 0, 0
             for i, text in enumerate(batch.column("text")):
-                slot, at, out = words.slots(split_words(text.as_py()))
+                slot, at, out, classes = words.slots(split_words(text.as_py()))
                 inside = at[at >= 0]
-                far = np.log10(words.mass[[word_class(w) for w in out]]).sum() if out else 0.0
-                found.append((len(slot), int((words.counts[inside] > 0).sum()), base[inside].sum(), tail[inside].sum() - far))
+                found.append((len(slot), int(seen_words[inside].sum()), base[inside].sum(), tail[inside].sum() - far[classes].sum()))
                 texts.append(slot)
                 others.append(out)
                 held += len(slot)
@@ -436,7 +446,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     scored = cut_lineage(rows.mapInArrow(work, T.StructType(fields)).withColumn("row", F.monotonically_increasing_id()))
     # words outside the head: their counts are looked up once per text and word
-    known = counts.select(F.col("word").alias("key"), F.col("n").alias("c"), "cls")
+    known = counts.select(F.col("word").alias("key"), F.col("n").alias("c"))
     pairs = scored.select("row", F.explode("other").alias("o")).select("row", F.col("o.word").alias("word"), F.col("o.n").alias("k"))
     found = pairs.join(known, F.col("word") == F.col("key"), "left")
     count = F.coalesce("c", F.lit(0))
