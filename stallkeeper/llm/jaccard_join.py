@@ -191,15 +191,26 @@ def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, own: bool):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _text_key(text_column: str):
+    return F.unhex(F.sha2(text_of(text_column), 256))
+
+
 def _sets(docs: DataFrame, id_column: str, text_column: str, kind: str) -> DataFrame:
-    """Per row its ``identity`` (d, id, n, set, check, parity), or the set's ``signatures`` (key, set, role) or ``shingles``."""
+    """Per row its ``identity`` (d, id, n, set, check, parity), or the set's ``signatures`` (key, set, role) or ``shingles``.
+
+    A ``document`` is an identity with the hash ``s`` of its text, which tells rows of one id or of no id apart.
+    """
     rows = docs.select(F.col(id_column).alias("id"), id_key(id_column).alias("d"), text_of(text_column).alias("text"))
+    if kind == "document":
+        rows = rows.withColumn("s", _text_key(text_column))
     long = T.LongType()
     schema = {
         "identity": T.StructType([T.StructField("d", T.StringType()), rows.schema["id"], *(T.StructField(c, long) for c in ("n", "set", "check")), T.StructField("parity", T.BinaryType())]),
         "signatures": T.StructType([T.StructField("key", long), T.StructField("set", long), T.StructField("role", T.ByteType())]),
         "shingles": T.StructType([T.StructField("set", long), T.StructField("shingles", T.ArrayType(long))]),
-    }[kind]
+    }
+    schema["document"] = T.StructType([*schema["identity"], T.StructField("s", T.BinaryType())])
+    schema = schema[kind]
 
     def work(batches):
         for batch in batches:
@@ -209,9 +220,10 @@ def _sets(docs: DataFrame, id_column: str, text_column: str, kind: str) -> DataF
                 row, h = shingle_sets(data, offsets)
                 size, one, two = set_identity(row, h, n)
                 name = one.view(np.int64)
-                if kind == "identity":
+                if kind in ("identity", "document"):
                     part = batch.slice(begin, n)
                     columns = [part.column("d"), part.column("id"), pa.array(size, pa.int64()), pa.array(name), pa.array(two.view(np.int64)), pa.array(parities(row, h, size), pa.binary())]
+                    columns += [part.column("s")] if kind == "document" else []
                 elif kind == "shingles":
                     edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                     columns = [pa.array(name), pa.ListArray.from_arrays(pa.array(edges), pa.array(h.view(np.int64)))]
@@ -294,14 +306,9 @@ def _across(buckets: DataFrame, facts: DataFrame, label: DataFrame, tree: bool)
     return cut_lineage(groups.select("s").mapInArrow(look, "a long, b long").distinct())
 
 
-def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``d, id, n_shingles, component_id`` of every row; component_id is the smallest id reachable by links.
-
-    Texts without words, null and empty texts have no shingles and link with nothing, not even each other. Repeated rows
-    link by their equal sets, unless they have none. A null id is the largest: a component's id is null only if it holds
-    no other id. An empty table gives an empty result; other columns are not read.
-    """
-    known = cut_lineage(_sets(docs, id_column, text_column, "identity"))
+def _grouped(docs: DataFrame, id_column: str, text_column: str, kind: str) -> DataFrame:
+    """``d, id, n, group`` of every row, and ``s`` for documents; rows with shingles are one component if they share group."""
+    known = cut_lineage(_sets(docs, id_column, text_column, kind))
     clash = known.where("n > 0").groupBy("set").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high")
     if not clash.isEmpty():
         raise ValueError("two different sets have one 64-bit hash; change the constants of set_identity")
@@ -331,16 +338,46 @@ def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_colum
         links = cut_lineage(links.union(_verified(more, docs, known, id_column, text_column)))
         label = components(links)
     of = known.join(cut_lineage(label), (F.col("set") == F.col("node")) & (F.col("n") > 0), "left").select(
-        "d", "id", "n", F.coalesce("label", "set").alias("group"))
-    of = cut_lineage(of)
+        "d", "id", "n", F.coalesce("label", "set").alias("group"), *["s"] * (kind == "document"))
+    return cut_lineage(of)
+
+
+def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``d, id, n_shingles, component_id`` of every row; component_id is the smallest id reachable by links.
+
+    Texts without words, null and empty texts have no shingles and link with nothing, not even each other. Repeated rows
+    link by their equal sets, unless they have none. A null id is the largest: a component's id is null only if it holds
+    no other id. An empty table gives an empty result; other columns are not read.
+    """
+    of = _grouped(docs, id_column, text_column, "identity")
     least = cut_lineage(of.where("n > 0").groupBy("group").agg(F.min("id").alias("least")))
     return of.join(least.withColumnRenamed("group", "g"), (F.col("group") == F.col("g")) & (F.col("n") > 0), "left").select(
         "d", "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller id; rows without shingles all stay."""
-    groups = near_duplicate_groups(docs, id_column, text_column)
-    gone = cut_lineage(groups.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("d").alias("gone")).distinct())
+    """One row of each component of near duplicates, with all its columns; rows without shingles all stay.
+
+    The row with the smallest id stays, null ids last; rows of one id or of no id are told apart by the hash of their text,
+    and the smallest stays. Of rows that repeat both, any one stays.
+    """
+    of = _grouped(docs, id_column, text_column, "document").where("n > 0")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "s")
+    best = cut_lineage(of.groupBy("group").agg(F.min(rank).alias("best"), F.count("*").alias("rows")).where("rows > 1").select(
+        F.col("group").alias("g"), F.coalesce(F.concat(F.lit("="), F.col("best.id").cast("string")), F.lit("-")).alias("best_d"),
+        F.col("best.s").alias("best_s")))
+    several = cut_lineage(of.join(best, F.col("group") == F.col("g")).select(
+        F.col("d").alias("key_d"), F.col("s").alias("key_s"), ((F.col("d") == F.col("best_d")) & (F.col("s") == F.col("best_s"))).alias("best")))
+    several = cut_lineage(several.groupBy("key_d", "key_s").agg(F.first("best").alias("best"), F.count("*").alias("rows")))
     free_shuffles(docs.sparkSession)
-    return docs.join(gone, id_key(id_column) == F.col("gone"), "left_anti")
+    names = [f"row_{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(id_key(id_column).alias("d"), _text_key(text_column).alias("s"),
+                        *[F.col(f"`{c}`").alias(a) for c, a in zip(docs.columns, names)])
+    same = (F.col("d") == F.col("key_d")) & (F.col("s") == F.col("key_s"))
+    gone = several.where("not best or rows > 1").select("key_d", "key_s")
+    left = keyed.join(gone, same, "left_anti").select(*names)
+    repeated = several.where("best and rows > 1").select("key_d", "key_s")
+    if not repeated.isEmpty():
+        once = keyed.join(repeated, same, "left_semi").groupBy("d", "s").agg(F.first(F.struct(*names)).alias("row"))
+        left = left.union(once.select(*[F.col(f"row.{a}") for a in names]))
+    return left.select(*[F.col(a).alias(c) for c, a in zip(docs.columns, names)])

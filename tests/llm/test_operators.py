@@ -59,6 +59,43 @@ def test_near_groups_of_many_edits(spark):
     assert got == near_groups(rows)
 
 
+def test_one_row_of_each_near_group_stays(spark, empty):
+    ship_package(spark)
+    base = [[f"{c}{i}" for i in range(40)] for c in "abcde"]
+    text = lambda k, *more: " ".join([*base[k], *more])
+    rows = [
+        (1, text(0), "x"), (None, text(0, "more"), "x"), (None, text(1), "x"),  # a null id near another row, and one near none
+        (2, text(0, "else"), "x"), (2, text(2), "x"),  # an id on a copy and on a text of its own
+        (None, text(3), "x"), (None, text(3, "more"), "x"), (None, text(3, "else"), "x"),  # no id at all
+        (5, text(4), "x"), (5, text(4, "more"), "x"), (5, text(4), "y"),  # one id, and a row twice
+        (None, None, "x"), (None, "", "x"), (6, " ", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, d string")
+    left = jaccard_join.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    got = [(r["doc_id"], (r["text"] or " ")[0]) for r in left.collect()]
+    assert sorted(got, key=str) == sorted(
+        [(1, "a"), (None, "b"), (2, "c"), (None, "d"), (5, "e"), (None, " "), (None, " "), (6, " ")], key=str)
+    assert jaccard_join.drop_near_duplicates(empty).count() == 0
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    good = lambda i: "\n".join(f"A plain sentence {i} with number {i * 31 + j} in it, and a calm end {i + j}." for j in range(8))
+    bad = lambda i: "\n".join(f"BUY!! NOW!! {i + j}!! CHEAP!! $$$" for j in range(8))
+    rows = [(i, good(i) if i < 30 else bad(i), "abc"[i % 3]) for i in range(60)]
+    rows += [(None, good(0) + " more", "a"), (None, good(101), "a"), (None, good(102), "a"), (1, good(103), "a"), (1, good(0) + " most", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_copies(spark, corpus_pipeline.keep_good(spark, docs, str(tmp_path)), str(tmp_path))
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, kept, str(tmp_path)).collect()]
+    want = [(i, good(i)) for i in range(30)] + [(None, good(101)), (None, good(102)), (1, good(103))]
+    assert sorted(left, key=str) == sorted(want, key=str)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_exact_groups(awkward, empty):
     got = {(r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(awkward, block_chars=4).collect()}
     assert {(1, 1, 3, True), (2, 1, 3, False), (None, 1, 3, False), (3, 3, 1, True), (4, 4, 2, True), (5, 4, 2, False),
