@@ -62,7 +62,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     factor = mix(np.arange(11, 11 + N, dtype=np.uint64))
     rows, hashes = [], []
     for k in range(1, N + 1):  # with fewer words than N, the whole sequence is the one shingle
-        at = np.flatnonzero(row[: len(row) - N + 1] == row[N - 1 :]) if k == N else first[:-1][count == k]
+        at = np.flatnonzero(row[: max(0, len(row) - N + 1)] == row[N - 1 :]) if k == N else first[:-1][count == k]
         total = np.full(len(at), k, np.uint64)
         for j in range(k):
             total += words[at + j] * factor[j]

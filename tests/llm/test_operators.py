@@ -59,6 +59,23 @@ def test_near_groups_of_many_edits(spark):
     assert got == near_groups(rows)
 
 
+def test_sets_of_few_words_alone_and_before_a_long_text():
+    import pyarrow as pa
+
+    from stallkeeper.llm import bytewords
+
+    long = "word " * 210_000 + "end"
+    assert len(long) > bytewords.SEGMENT
+    for k in range(7):
+        few = " ".join("abcdefg"[:k])
+        for column in ([few], [few, long], [long, few]):
+            sizes = []
+            for _, data, offsets in bytewords.chunks(pa.array(column, pa.string())):
+                row, h = jaccard_join.shingle_sets(data, offsets)
+                sizes += jaccard_join.set_identity(row, h, len(offsets) - 1)[0].tolist()
+            assert sizes == [2 if c is long else len(shingles(c)) for c in column]
+
+
 def test_one_row_of_each_near_group_stays(spark, empty):
     ship_package(spark)
     base = [[f"{c}{i}" for i in range(40)] for c in "abcde"]
