@@ -6,8 +6,10 @@ allowances v (0: not looked at, 1: equal, 2: equal but for one shingle) and they
 with it on a segment within its allowance. Sets are indexed by the hashes of their segments and, for segments that may
 get allowance 2, of their one-deletion neighbours. Allowances go where buckets are expected to be smallest: segments with
 many shingles first, then a second unit on the largest, and segments with one shingle or none only if nothing else is
-left. Small bands use few segments with allowance 2 throughout, where that costs few rows. A set looks up its own band
-and the next, in which its larger partners may lie.
+left. Small bands use few segments with allowance 2, one more than would do, so that a segment that is empty, or is so
+without one shingle, need not be looked at: all sets would agree on it. Sets that have too few others deal their shingles
+anew, and so do those that may be their partners. Sets of up to 4 shingles differ from none of their band that they link
+with. A set looks up its own band and the next, in which its larger partners may lie.
 
 Sets that are equal are joined first and act as one. A bucket's sets are compared with up to four of them, its centres.
 Buckets that then still hold several components are looked at in blocks of bounded size inside tasks, and only pairs that
@@ -32,7 +34,9 @@ from stallkeeper.session import cut_lineage, free_shuffles
 
 N = 5
 PERCENT = 80
-SMALL = 60  # bands up to this size use allowance 2 throughout
+SMALL = 60  # bands up to this size use allowance 2
+TURNS = 3  # so often sets of up to AGAIN shingles are dealt, until segments with shingles suffice; only the last turn has
+AGAIN = 13  # keys of empty ones. Of larger sets few in 100,000 look such a key up, and all might be their partners
 LARGE_SEGMENT = 10  # elsewhere only segments from this size on may get allowance 2
 BLOCK = 1024  # sets of a bucket that are looked at together
 INDEX, PROBE, PROBE2, INDEX_LESS, PROBE_LESS = 1, 2, 4, 8, 16
@@ -49,7 +53,8 @@ def bands(largest: int) -> list[tuple[int, int, int]]:
     while low <= largest:
         high = max(low + 3, low * 3 // 2)
         most = max(int(max_difference(high, high)), int(max_difference(low - 1, min(high, (low - 1) * 100 // PERCENT))))
-        out.append((low, high, -(-(most + 1) // 2) if high <= SMALL else most + 1 + max(2, high // 50)))
+        few = -(-(most + 1) // 2)
+        out.append((low, high, few + (few > 1) if high <= SMALL else most + 1 + max(2, high // 50)))
         low = high + 1
     return out
 
@@ -153,42 +158,69 @@ def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, own: bool):
     """(row, key, role) of the sets as members of their own band, or as they look up the next band."""
     table = bands(max(1, int(size.max(initial=1)) * 2))
     low, high, parts = (np.array(x) for x in zip(*table))
+    most = np.maximum(max_difference(high, high), max_difference(low - 1, np.minimum(high, (low - 1) * 100 // PERCENT)))
     band = np.searchsorted(high, size)
     takes = size > 0
     if not own:
         band = np.minimum(band + 1, len(low) - 1)
         takes &= size * 100 // PERCENT >= low[band]
+    takes &= most[band] > 0  # others link with equal sets only, which are one already
     partner = size if own else np.minimum(high[band], size * 100 // PERCENT)
     need = np.where(takes, max_difference(size, partner) + 1, 0)
+    index, probe, out = takes & own, takes, []
+    for turn in range(TURNS):
+        last = (turn == TURNS - 1) | (high[band] > AGAIN)
+        keys, index, probe = _dealt(row, h, band, parts, np.where(high <= SMALL, most, -1), need, index, probe, turn, last)
+        out += keys
+        if not (index | probe).any():
+            break
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _dealt(row, h, band, parts, most, need, index, probe, turn, last):
+    """Keys of one dealing of the sets that ``index`` and ``probe`` name; the sets of each that the next one is to deal."""
+    takes = index | probe
+    need = np.where(probe, need, 0)
     m = np.where(takes, parts[band], 0)
     base = np.concatenate([[0], np.cumsum(m)])
     used = takes[row]
     row, h = row[used], h[used]
-    part = ((mix(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) * m[row].astype(np.uint64)) >> np.uint64(32)
+    salt = mix(np.uint64(turn) * np.ones(1, np.uint64))[0]  # 0 in the first turn
+    part = ((mix(h ^ np.uint64(0x5851F42D4C957F2D) ^ salt) >> np.uint64(32)) * m[row].astype(np.uint64)) >> np.uint64(32)
     slot = base[row] + part.astype(np.int64)
     token = mix(h + np.uint64(0x2545F4914F6CDD1D))
     count, content = np.bincount(slot, minlength=base[-1]), _sums(token, slot, base[-1])
     owner = np.repeat(np.arange(len(m)), m)
-    seed = mix(band[owner].astype(np.uint64) * np.uint64(1 << 32) + (np.arange(base[-1]) - base[owner]).astype(np.uint64) + np.uint64(1))
-    small = high[band] <= SMALL
+    place = (np.arange(base[-1]) - base[owner]).astype(np.uint64)
+    seed = mix(band[owner].astype(np.uint64) * np.uint64(1 << 32) + place + np.uint64(1) ^ salt)
+    most = most[band]
+    small = most >= 0
     # allowances: ranks by number of shingles, most first
     order = np.lexsort((-count, owner))
     rank = np.empty(base[-1], np.int64)
     rank[order] = np.arange(base[-1]) - base[owner[order]]
     rich = np.bincount(owner, count >= 2, len(m)).astype(np.int64)
+    filled = np.bincount(owner, count >= 1, len(m)).astype(np.int64)
     large = np.bincount(owner, count >= LARGE_SEGMENT, len(m)).astype(np.int64)
-    second = np.where(small, m, np.clip(need - rich, 0, large))
-    single = np.where(small, m, np.where(rich >= need, need, np.maximum(rich, need - second)))
+    half = (need + 1) // 2
+    twice = np.minimum(rich, half)
+    both = twice + np.maximum(0, need - 2 * twice)
+    lacks = small & (both > filled)
+    second = np.where(small, np.where(lacks, half * last, twice), np.clip(need - rich, 0, large))
+    single = np.where(small, np.where(lacks, half * last, both), np.where(rich >= need, need, np.maximum(rich, need - second)))
     probe2 = rank < second[owner]
-    probe = (rank < single[owner]) | probe2
-    role = (INDEX if own else 0) + PROBE * probe + PROBE2 * probe2
+    probes = (rank < single[owner]) | probe2
+    bare = (small & ~last)[owner] * (1 - np.minimum(count, 1) + 2 * (count == 1))  # 1: empty, 2: empty without one
+    role = INDEX * (index[owner] & (bare != 1)) + PROBE * probes + PROBE2 * probe2
     whole = role > 0
     out = [(owner[whole], mix(content + seed)[whole], role[whole])]
-    indexed = (small[owner] | (count > LARGE_SEGMENT)) & own
+    indexed = (small[owner] | (count > LARGE_SEGMENT)) & index[owner] & (bare != 2)
     less = INDEX_LESS * indexed + PROBE_LESS * probe2
     wanted = less[slot] > 0
     out.append((row[wanted], mix((content + seed)[slot] - token)[wanted], less[slot][wanted]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    # a set that lacks has no more than most - most // 2 shingles outside its most // 2 largest segments
+    outside = np.bincount(owner, count * (rank >= most[owner] // 2), len(m))
+    return out, index & small & ~last & (parts[band] > 1) & (outside <= 2 * most - most // 2), probe & lacks & ~last
 
 
 def _text_key(text_column: str):

@@ -76,6 +76,40 @@ def test_sets_of_few_words_alone_and_before_a_long_text():
             assert sizes == [2 if c is long else len(shingles(c)) for c in column]
 
 
+def test_small_sets_share_keys_with_partners_only():
+    rng = np.random.default_rng(11)
+
+    def keys(sets):
+        size = np.array([len(s) for s in sets])
+        row, h = np.repeat(np.arange(len(sets)), size), np.concatenate([np.sort(s) for s in sets])
+        found = [jaccard_join.signatures(row, h, size, own) for own in (True, False)]
+        return [np.concatenate(x) for x in zip(*found)]
+
+    # every pair that links meets under a key that one looks up and the other is indexed by
+    sets, near = [], []
+    for _ in range(6000):
+        a, b = rng.integers(1, 62), rng.integers(0, 8)
+        both = rng.integers(0, 2**63, a, dtype=np.uint64)
+        one, two = (np.concatenate([both, rng.integers(0, 2**63, k, dtype=np.uint64)]) for k in (b, rng.integers(0, 8)))
+        if 100 * a >= 80 * (len(one) + len(two) - a) and len(one) + len(two) > 2 * a:
+            near.append((len(sets), len(sets) + 1))
+            sets += [one, two]
+    held = {}
+    for i, key, role in zip(*(x.tolist() for x in keys(sets))):
+        held.setdefault(i, {}).setdefault(key, 0)
+        held[i][key] |= role
+    is_index, is_probe = jaccard_join.INDEX | jaccard_join.INDEX_LESS, jaccard_join.PROBE | jaccard_join.PROBE2 | jaccard_join.PROBE_LESS
+    assert len(near) > 500
+    for i, j in near:
+        a, b = held.get(i, {}), held.get(j, {})
+        assert any((a[k] & is_index and b[k] & is_probe) or (b[k] & is_index and a[k] & is_probe) for k in a.keys() & b.keys())
+    # unlike sets of one size do not meet, however many there are
+    for n in (1, 2, 3, 4, 5, 9, 12, 16, 24, 40):
+        row, key, role = keys([rng.integers(0, 2**63, n, dtype=np.uint64) for _ in range(3000)])
+        found, members = np.unique(np.unique(np.stack([row.view(np.uint64), key]), axis=1)[1], return_counts=True)
+        assert members.max(initial=1) < (30 if n < 14 else 1000) and not np.isin(key[role & is_probe > 0], found[members > 1]).any()
+
+
 def test_one_row_of_each_near_group_stays(spark, empty):
     ship_package(spark)
     base = [[f"{c}{i}" for i in range(40)] for c in "abcde"]
