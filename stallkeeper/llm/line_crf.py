@@ -164,12 +164,29 @@ def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
 
 
+def _fitting(sizes: list[tuple[int, int]], most: int) -> list[int]:
+    """Which of the documents (class, lines) are taken, in order: in half of the lines for each class, then in what is left."""
+    taken, left = set(), most
+    for label in sorted({label for label, _ in sizes}):
+        room = most // 2
+        for k, (of, n) in enumerate(sizes):
+            if of == label and n <= room:
+                taken.add(k)
+                room, left = room - n, left - n
+    for k, (_, n) in enumerate(sizes):
+        if k not in taken and n <= left:
+            taken.add(k)
+            left -= n
+    return sorted(taken)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
           label_column: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Crf:
     """Fit on at most sample_docs labelled documents of each class and sample_lines lines; features, not texts, are collected.
 
-    An id with several labels has the largest. Null labels are passed over. With one class only, every line gets that
-    class's smoothed share.
+    An id with several labels has the largest. Null labels are passed over. A document that doesn't fit into what is left
+    of the lines is passed over and others follow. With one class only, every line gets that class's smoothed share. If
+    two classes were labelled and lines of one only fit, that is an error.
     """
     marks = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(
         F.col(id_column).alias("key")).agg(F.max(label_column).alias("label"))
@@ -191,9 +208,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     # stored first: all partitions are read at once, and the driver learns the sizes before it takes any features
     found = cut_lineage(texts.mapInArrow(features, "h long, label int, x binary"))
-    sizes = found.groupBy("h").agg(F.sum(F.octet_length("x") / F.lit(12 * OWN)).cast("long").alias("n")).orderBy("h").collect()
-    upto = np.searchsorted(np.cumsum([r["n"] for r in sizes]), sample_lines, "right")
-    taken = found.where(F.col("h") <= sizes[upto - 1]["h"]) if upto else found.limit(0)
+    sizes = found.groupBy("h", "label").agg(F.sum(F.octet_length("x") / F.lit(12 * OWN)).cast("long").alias("n")).orderBy("h", "label").collect()
+    fit_in = _fitting([(r["label"], r["n"]) for r in sizes], sample_lines)
+    if len({r["label"] for r in sizes}) > 1 and len({sizes[k]["label"] for k in fit_in if sizes[k]["n"]}) < 2:
+        raise ValueError("two classes are labelled, but lines of one at most fit into the sample; raise sample_lines")
+    rows = found.sparkSession.createDataFrame([(sizes[k]["h"], sizes[k]["label"]) for k in fit_in], "h long, label int")
+    taken = found.join(F.broadcast(rows), ["h", "label"], "left_semi")
     kept = sorted(((r["h"], r["label"], bytes(r["x"])) for r in taken.toLocalIterator()))
     kept = [(label, np.frombuffer(x, np.float32).reshape(-1, 3 * OWN)) for _, label, x in kept]
     doc = np.repeat(np.arange(len(kept)), [len(x) for _, x in kept]) if kept else np.empty(0, np.int64)

@@ -263,6 +263,21 @@ def test_line_crf(spark, awkward, empty):
     assert all(r["quality_score"] > 0.7 for r in line_crf.score(awkward, alone).collect())
 
 
+def test_crf_passes_over_a_document_that_does_not_fit(spark):
+    ship_package(spark)
+    good, bad = "A plain sentence is here.\nAnd another calm line.", "BUY!! NOW!! CHEAP!!\nCLICK!! HERE!! NOW!!"
+    rows = [(i, good if i % 2 else bad) for i in range(40)]
+    first = min(range(40), key=lambda i: spark.range(1).selectExpr(f"xxhash64({i}L)").first()[0])
+    rows[first] = (first, "\n".join([rows[first][1]] * 200))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = line_crf.train(docs, labels, sample_lines=100)
+    out = {r["doc_id"]: r["quality_score"] for r in line_crf.score(docs, model).collect()}
+    assert min(out[i] for i in range(1, 40, 2)) > 0.7 > max(out[i] for i in range(0, 40, 2))
+    with pytest.raises(ValueError):
+        line_crf.train(docs, labels, sample_lines=1)
+
+
 def test_crf_marginals_match_enumeration():
     from itertools import product
 
