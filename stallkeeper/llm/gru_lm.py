@@ -7,7 +7,7 @@ vocabulary. The history is the state of the unit, which is carried from window t
 training (truncated backpropagation) and in scoring. Before training the model equals the unigram model.
 
 Word counts cover all training documents. Weights are warmed up on a bounded sample of them and then trained further in
-every partition on ``share`` of its training documents and averaged, so training grows with the corpus.
+every partition on all of its training documents (one in ``share``) and averaged, so training grows with the corpus.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from stallkeeper.session import cut_lineage, free_shuffles
 HEAD_SHARE = 2**18  # a word is in the head, whose counts every task holds, if it is one in so many tokens or more
 SLOTS = 2_048  # of these, words the output layer tells apart
 CLASSES = 48
-HIDDEN = 16
+HIDDEN = 24
 WINDOW = 24
 SAMPLE_DOCS = 600
 SAMPLE_WORDS = 400_000
-SHARE = 32  # one in so many training documents is trained on in its partition
+SHARE = 1  # one in so many training documents is trained on in its partition: all of them
 END = b""  # no word is empty, so this stands for the end of a text
 LN10 = float(np.log(10))
 

@@ -317,6 +317,18 @@ def test_gru_gradients_and_scores(awkward, empty):
         assert back[i, j] == pytest.approx(slope, rel=1e-3)
 
 
+def test_every_training_document_is_learnt_from(spark):
+    ship_package(spark)
+    docs = spark.createDataFrame([(i, f"first{i} second{i} third{i} " * 20) for i in range(60)], "doc_id long, text string")
+    words = gru_lm.vocabulary(gru_lm.count_words(docs).cache())
+    before, after = gru_lm.Gru(words).w["x"], gru_lm.train(docs, words, sample_docs=0).w["x"]
+    seen = [r["text"].encode() for r in docs.where(gru_lm.in_training("doc_id")).collect()]
+    assert len(seen) > 30
+    for text in seen:
+        inputs = words.slots(gru_lm.split_words(text))[0][:-1]
+        assert (before[inputs] != after[inputs]).any(1).all()
+
+
 def test_rollup_is_idempotent_and_additive(spark, awkward, empty, tmp_path):
     counts = token_counts.token_counts(awkward)
     rollup = token_counts.TokenRollup(spark, f"file://{tmp_path}/rollup")
