@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.llm import exact_dedup, gru_lm, jaccard_join, line_crf, line_dedup, mixing, packing, quality_rules, token_counts, warc
+from stallkeeper.llm import (exact_dedup, gru_lm, jaccard_join, line_crf, line_dedup, mixing, packing, quality_rules, source_audit,
+                             token_counts, warc)
 from stallkeeper.session import cut_lineage, delete_at_exit, shared_folder, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +219,34 @@ def op3_line_runs(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_gru_language_model")
 def op6_gru_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return gru_lm.score(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+AUDIT_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= {source_audit.MIN_DOCS}),
+s AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t GROUP BY lang, source, term),
+n AS (SELECT lang, source, sum(c) AS n FROM c JOIN k USING (lang, term) GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+             1 + ({source_audit.SCALE}::HUGEINT * (coalesce(c, 0) + {source_audit.SMOOTH})) // (coalesce(n.n, 0) + {source_audit.SMOOTH} * v)::HUGEINT AS p,
+             1 + ({source_audit.SCALE}::HUGEINT * (total + {source_audit.SMOOTH})) // (s.n + {source_audit.SMOOTH} * v)::HUGEINT AS q
+      FROM g JOIN k ON k.lang = g.lang JOIN s ON s.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE c > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+SELECT * FROM z WHERE part = 'pair' OR rank <= {source_audit.TOP_TERMS}
+"""
+
+
+@query("op11_source_audit", AUDIT_SQL)
+def op11_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.source_audit(table(spark, folder, "documents"))
