@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallkeeper.llm import (exact_dedup, gru_lm, jaccard_join, line_crf, line_dedup, mixing, packing, quality_rules, source_audit,
-                             token_counts, warc)
+                             token_counts, toxicity, warc)
 from stallkeeper.session import cut_lineage, delete_at_exit, shared_folder, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +250,13 @@ SELECT * FROM z WHERE part = 'pair' OR rank <= {source_audit.TOP_TERMS}
 @query("op11_source_audit", AUDIT_SQL)
 def op11_source_audit(spark: SparkSession, folder: str) -> DataFrame:
     return source_audit.source_audit(table(spark, folder, "documents"))
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    seen = table(spark, folder, "labels").select("doc_id", "toxic").where(~line_crf.is_held_out("doc_id"))
+    scored = toxicity.score(docs, toxicity.train(docs, seen))
+    return scored.select(
+        "doc_id", line_crf.is_held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
