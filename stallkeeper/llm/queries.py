@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.llm import (exact_dedup, gru_lm, jaccard_join, line_crf, line_dedup, mixing, packing, quality_rules, source_audit,
-                             token_counts, toxicity, warc)
+from stallkeeper.llm import (conversation_trie, exact_dedup, gru_lm, jaccard_join, line_crf, line_dedup, mixing, packing, quality_rules,
+                             source_audit, token_counts, toxicity, warc)
 from stallkeeper.session import cut_lineage, delete_at_exit, shared_folder, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,3 +260,35 @@ def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", line_crf.is_held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+# crc32 of a decimal number, bit by bit
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+TRIE_SQL = rf"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+             md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS r,
+             [coalesce(role, ''), coalesce(text, '')] AS step FROM conversations WHERE conv_id IS NOT NULL),
+w AS (SELECT conv_id, list(step ORDER BY r) AS steps FROM o GROUP BY conv_id),
+h AS (SELECT conv_id, steps, {CRC_SQL} % {conversation_trie.HEAD + 1} AS h FROM w),
+p AS (SELECT h.conv_id, list_concat(coalesce(b.steps[1:h.h], []), h.steps[h.h + 1:]) AS path FROM h
+      LEFT JOIN w b ON b.conv_id = h.conv_id - h.conv_id % {conversation_trie.FAMILY}),
+m AS (SELECT conv_id, len(path) AS n, path[1:d] AS node, d FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM p)),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+             coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '') AS ends FROM m GROUP BY node, d),
+u AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+a AS (SELECT n.*, coalesce(n_children, 0) AS n_children,
+             CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(node[d][2], '[^{SPACE}]+')) END AS saved
+      FROM n LEFT JOIN u USING (node)),
+s AS (SELECT top, sum(saved) AS saved_tokens, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+      FROM (SELECT saved, n_children, node[1:e] AS top FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM a)) GROUP BY top)
+SELECT a.conv_id, a.d AS depth, q.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM a JOIN s ON s.top = a.node LEFT JOIN n q ON a.d > 0 AND q.node = a.node[1:a.d - 1]
+"""
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, folder, "conversations"))
