@@ -22,6 +22,7 @@ columns are not read, so their names may be any.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -276,9 +277,10 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
 
     whole = strings.agg(F.min("conv").alias("owner"), F.sum("copies").alias("n_convs"), F.sum("leaf").alias("n_leaves"))
     first = whole.first()["owner"]  # null in an empty table
-    root = whole.where("owner IS NOT NULL").withColumn("key", F.lit(ROOT)).join(children, "key", "left").join(
-        edges.groupBy(F.lit(ROOT).alias("key")).agg(F.sum("edge_saved").alias("saved")), "key", "left").join(
-        _ends_hash(ends.where(F.col("key") == ROOT)), "key", "left").select(
+    parts = [whole, children.where(F.col("key") == ROOT).select("n_children"), edges.agg(F.sum("edge_saved").alias("saved")),
+             _ends_hash(ends.where(F.col("key") == ROOT)).select("sha")]
+    root = functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).agg(
+        *[F.max(c).alias(c) for c in ("owner", "n_convs", "n_leaves", "n_children", "saved", "sha")]).where("owner IS NOT NULL").select(
         F.col("owner").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs",
         F.coalesce("n_children", F.lit(0)).alias("n_children"), "n_leaves", F.coalesce("saved", F.lit(0)).alias("saved_tokens"),
         F.coalesce("sha", F.lit(EMPTY_SHA)).alias("ends_sha256"))

@@ -186,9 +186,9 @@ def fit(rows: list[tuple[np.ndarray, int, float]], swaps: list[tuple[tuple[int,
         v /= np.linalg.norm(v)
         along = share * (v[-1] + np.bincount(doc, v[col], len(rows)))
         v = 0.25 * np.append(np.bincount(col, along[doc], k), along.sum())
-    bend = 1.2 * float(np.linalg.norm(v)) + 1e-6
-    if len(swaps):
-        bend += 2 * swap_weight * float((times * np.bincount(swap, minlength=len(swaps))).sum())
+    bend = np.full(k + 1, 1.2 * float(np.linalg.norm(v)) + 1e-6)
+    if len(swaps):  # a name's own curvature: (sum of n terms)^2 is at most n times the sum of their squares
+        bend[:k] += 2 * swap_weight * np.bincount(at, (times * np.bincount(swap, minlength=len(swaps)))[swap], k)
     w, last, t = np.zeros(k + 1), np.zeros(k + 1), 1.0
     prior = float((label * share).sum())
     w[-1] = last[-1] = np.log(prior / (1 - prior))
@@ -202,7 +202,7 @@ def fit(rows: list[tuple[np.ndarray, int, float]], swaps: list[tuple[tuple[int,
             change = np.bincount(swap, sign * ahead[at], len(swaps))
             slope[:k] += 2 * swap_weight * np.bincount(at, sign * (times * change)[swap], k)
         new = ahead - slope / bend
-        new[:k] = np.sign(new[:k]) * np.maximum(0, np.abs(new[:k]) - sparsity / bend)
+        new[:k] = np.sign(new[:k]) * np.maximum(0, np.abs(new[:k]) - sparsity / bend[:k])
         last, w, t = w, new, t_next
     return _model(names, w[:k], float(w[-1]))
 
