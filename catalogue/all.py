@@ -10,3 +10,4 @@ import catalogue.faults  # noqa: F401
 import catalogue.checks  # noqa: F401
 import catalogue.churn  # noqa: F401
 import catalogue.scores  # noqa: F401
+import catalogue.raw  # noqa: F401

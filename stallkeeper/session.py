@@ -50,15 +50,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder of one's own in the shared one, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Store ``df`` once as a table in the shared folder and go on from the stored rows.
 
     Later steps read only the columns they use, know the size for join planning, and survive lost
     executors without recomputing what came before.
     """
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, "stored")
     df.write.option("compression", "zstd").parquet(path)
-    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.operators.clean import conform_schema
+from stallkeeper.sources.layouts import read_layouts
 from stallkeeper.sources.schemas import raw_schema, score_schema
 
 RENAMED = {"customers": {"customer_external_id": "cust_ext_id"}}
@@ -16,15 +16,13 @@ RENAMED = {"customers": {"customer_external_id": "cust_ext_id"}}
 def bronze(spark: SparkSession, path: str, entity: str, declared: bool = True) -> DataFrame:
     """Raw Parquet rows of one entity with load time and source name.
 
-    Columns are read as the files have them. With ``declared`` they are cast to the declared types, renamed columns are
-    taken under either name, and columns the files lack are NULL.
+    With ``declared`` files of any layout may lie side by side: they are cast to the declared types, renamed columns are
+    taken under either name, and columns a file lacks are NULL. Without, all files must agree and are read as they are.
     """
-    rows = spark.read.option("mergeSchema", True).parquet(path)
     if declared:
-        rows = conform_schema(rows, RENAMED.get(entity))
-        rows = rows.select(*[
-            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in raw_schema(entity)])
+        rows = read_layouts(spark, path, raw_schema(entity), RENAMED.get(entity))
+    else:
+        rows = spark.read.option("mergeSchema", True).parquet(path)
     return rows.withColumns({"_loaded_at": F.current_timestamp(), "_source": F.lit(entity)})
 
 

@@ -58,5 +58,10 @@ def raw_schema(entity: str) -> StructType:
     return StructType.fromDDL(_DDL[entity])
 
 
+def raw_columns(entity: str) -> dict[str, str]:
+    """Names and types as text, also without a session."""
+    return dict(column.split(" ") for column in _DDL[entity].split(", "))
+
+
 def score_schema() -> StructType:
     return StructType.fromDDL(_SCORES_DDL)
