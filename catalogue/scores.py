@@ -7,6 +7,8 @@ queries named ``model_*`` train the real model and have no SQL counterpart.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +17,15 @@ from catalogue import testbed as tb
 from catalogue.checks import EVERY_LAYER, LAYERS, SPECIAL, checked_tables, result_sql, rule_sql_for, special, suite_sql
 from catalogue.churn import BASE, DATES, rule_sql
 from catalogue.registry import Market, register
-from catalogue.sqlbase import big, cents, cte, hash_bucket, mean_usd, pct, rnd, usd
+from catalogue.sqlbase import CTES, big, cents, cte, hash_bucket, mean_usd, pct, rnd, usd
 from stallkeeper.churn import evaluate as ev
 from stallkeeper.churn import features as ft
 from stallkeeper.churn import model as ml
 from stallkeeper.churn import scores as sc
+from stallkeeper.churn import scoring_job as job
+from stallkeeper.churn import training_job as tj
 from stallkeeper.churn import validate as v
-from stallkeeper.churn.config import MODEL_NAMES, SCORE_THRESHOLD
+from stallkeeper.churn.config import BINARY_FEATURES, MODEL_NAMES, NUMERIC_FEATURES, SCORE_THRESHOLD
 from stallkeeper.functions import hash_bucket as bucket
 from stallkeeper.functions import rnd as round_to
 from stallkeeper.operators.checks import check_summary, run_checks
@@ -29,7 +33,8 @@ from stallkeeper.operators.ranking import exact_quantile, global_rank
 from stallkeeper.plans import retention as r
 from stallkeeper.plans import suite
 from stallkeeper.plans.dashboard import filter_values
-from stallkeeper.session import cut_lineage
+from stallkeeper.session import cut_lineage, delete_at_exit, scratch_folder, shared_folder
+from stallkeeper.sources.versions import Versions
 
 SCORED_AT = dt.datetime(2001, 7, 1, 6, 0)
 GRID = ev.threshold_grid()
@@ -138,12 +143,13 @@ tops = " CROSS JOIN ".join(
     f"precision AS top_{n}_precision, recall AS top_{n}_recall, lift AS top_{n}_lift FROM ({top_sql(f)}))"
     for f, n in ((0.1, "10_pct"), (0.2, "20_pct"))
 )
+EVALUATE_SQL = f"""SELECT * EXCLUDE (tp, pp) FROM confusion CROSS JOIN (SELECT {AUC} AS roc_auc, {AP} AS pr_auc FROM score_groups)
+CROSS JOIN (SELECT {BRIER} AS brier_score FROM scored_test) CROSS JOIN {tops}"""
 register(
     "evaluate",
     lambda m: ev.evaluate(scored_test(m), T).withColumns(
         {"pr_auc": round_to("pr_auc", 9), "brier_score": round_to("brier_score", 9)}),
-    f"""SELECT * EXCLUDE (tp, pp) FROM confusion CROSS JOIN (SELECT {AUC} AS roc_auc, {AP} AS pr_auc FROM score_groups)
-CROSS JOIN (SELECT {BRIER} AS brier_score FROM scored_test) CROSS JOIN {tops}""",
+    EVALUATE_SQL,
 )
 register(
     "prediction_frame",
@@ -353,60 +359,231 @@ register(
 )
 
 # --- the trained model ---
-_KEPT: dict[tuple, object] = {}
+def bundle(m: Market) -> tj.Bundle:
+    """The saved training run of this application over this folder; the first query that asks for it trains."""
+    spark = m.spark
+    name = hashlib.md5(m.folder.encode()).hexdigest()
+    path = f"{shared_folder(spark)}/churn-{spark.sparkContext.applicationId}-{name}"
+    store = Versions(spark, path)
+    if store.current() is None:
+        delete_at_exit(spark, path)
+        day, rows = F.col("snapshot_date"), cut_lineage(ft.build_snapshots(m.gold_stored, DATES))
+        tj.run_training(store, rows.where(day.isin(*tb.TRAIN)), rows.where(day == tb.VALIDATION), rows.where(day == tb.TEST))
+    return tj.load_bundle(store)
 
 
-def keep(m: Market, name: str, build):
-    """Fitted models and stored snapshots of a session, so that several queries share one training run."""
-    key = (m.spark.sparkContext.applicationId, m.folder, name)
-    if key not in _KEPT:
-        _KEPT[key] = build()
-    return _KEPT[key]
+def metric_rows(m: Market, split: str) -> DataFrame:
+    rows = [bundle(m).metrics[name][split] for name in MODEL_NAMES.values()]
+    order = list(rows[0])
+    kinds = {str: "string", int: "long", float: "double"}
+    return m.spark.createDataFrame([tuple(r[c] for c in order) for r in rows], ", ".join(f"{c} {kinds[type(rows[0][c])]}" for c in order))
 
 
-def stored(m: Market) -> DataFrame:
-    return keep(m, "snapshots", lambda: cut_lineage(ft.build_snapshots(m.gold_stored, DATES)))
+def family_row(m: Market, split: str, family: str) -> DataFrame:
+    return metric_rows(m, split).where(F.col("model_name") == MODEL_NAMES[family])
 
 
-def trained(m: Market, family: str) -> ml.Trained:
-    def fit() -> ml.Trained:
-        day = F.col("snapshot_date")
-        return ml.train(
-            stored(m).where(day.isin(*tb.TRAIN)), stored(m).where(day == tb.VALIDATION), MODEL_NAMES[family],
-            include_channel=family == "channel")
-    return keep(m, family, fit)
+def certified(m: Market) -> DataFrame:
+    """The gradient at the fitted weights of both families; all of it is within tolerance where the fit is done."""
+    rows = cut_lineage(ft.build_snapshots(m.gold_stored, tb.TRAIN))
+    parts = [ml.certificate(bundle(m).models[name], rows).withColumn("model_name", F.lit(name)) for name in MODEL_NAMES.values()]
+    return parts[0].unionByName(parts[1])
 
 
-def test_scored(m: Market, family: str) -> DataFrame:
-    rows = stored(m).where(F.col("snapshot_date") == tb.TEST)
-    return keep(m, f"test-{family}", lambda: cut_lineage(ml.score(trained(m, family).pipeline, rows)))
+register("model_coefficients", lambda m: bundle(m).tables["coefficients"])
+register("model_candidates", lambda m: m.spark.createDataFrame(
+    [(f, c["class_weight"], c["pr_auc"], c["top_20_recall"], c["roc_auc"])
+     for f, name in MODEL_NAMES.items() for c in bundle(m).models[name].candidates],
+    "family string, class_weight string, pr_auc double, top_20_recall double, roc_auc double"))
+register("model_test_metrics", lambda m: metric_rows(m, "test"))
+register("model_comparison", lambda m: ev.compare_models(family_row(m, "test", "behavioral"), family_row(m, "test", "channel")))
+register("model_deltas", lambda m: m.spark.createDataFrame(list(bundle(m).deltas.items()), "metric string, delta double"))
+# the family is chosen before the test split is looked at
+register("model_selection", lambda m: ev.select_model(metric_rows(m, "validation")))
+register("model_certificate", certified)
+register("model_predictions", lambda m: bundle(m).tables["predictions"])
+register("model_probability_violations", lambda m: ml.probability_violations(bundle(m).tables["predictions"]))
+
+
+def model_scores(m: Market) -> DataFrame:
+    """The scoring job with the chosen family, and the table that it published."""
+    b = bundle(m)
+    store = Versions(m.spark, scratch_folder(m.spark, "scores"))
+    job.run_scoring(store, ft.scoring_snapshot(m.gold_stored, tb.SCORE), b.predict, SCORED_AT, T, b.selected, b.model_version)
+    return store.read()
+
+
+register("model_scores", model_scores)
+
+
+# --- guarded publication ---
+def guarded(m: Market) -> Versions:
+    """Three runs of the scoring job: a sound one, one in which customers lack a score, one that loses customers."""
+    snapshot = cut_lineage(ft.scoring_snapshot(m.gold_stored, tb.SCORE))
+    lacking = F.when(bucket("broken", F.col("customer_id")) % 10 != 0, F.col("churn_probability"))
+    runs = [stand_in, lambda df: stand_in(df).withColumn("churn_probability", lacking),
+            lambda df: stand_in(df).where(bucket("broken", F.col("customer_id")) % 10 != 1)]
+    store = Versions(m.spark, scratch_folder(m.spark, "scores"))
+    for day, predict in enumerate(runs):
+        try:
+            job.run_scoring(store, snapshot, predict, SCORED_AT + dt.timedelta(days=day), T, MODEL_NAMES["behavioral"])
+        except job.Refused:
+            pass  # the table of the run before stays readable; ``runs`` has the reasons
+    return store
+
+
+# what readers see after a refused run is the last sound table
+register("published_scores", lambda m: guarded(m).read(), "SELECT * FROM score_rows")
+NO_CUSTOMER = f"{hash_bucket('broken', 'customer_id')} % 10 = 1"
+RULES = ("empty", "duplicate_key", "null_customer_id", "null_probability", "invalid_predicted_flag", "invalid_missing_spend_flag",
+         "probability_out_of_range", "unexpected_risk_segment", "decile_out_of_range", "schema_mismatch", "unscored_customer", "unknown_customer")
+BY_LACK = ("null_probability", "invalid_predicted_flag", "probability_out_of_range", "unexpected_risk_segment", "decile_out_of_range")
+
+
+def runs_sql() -> str:
+    lines = []
+    for day, (status, broken) in enumerate((("published", {}), ("refused", dict.fromkeys(BY_LACK, NO_SCORE)), ("refused", {"unscored_customer": NO_CUSTOMER}))):
+        for rule in RULES:
+            n = f"(SELECT count(*) FROM score_rows WHERE {broken[rule]})" if rule in broken else "CAST(0 AS BIGINT)"
+            lines.append(f"SELECT '{status}' AS status, '{rule}' AS rule, {n} AS violations, TIMESTAMP '{SCORED_AT + dt.timedelta(days=day)}' AS run_at")
+    return " UNION ALL ".join(lines)
+
+
+register("scoring_runs", lambda m: job.runs(guarded(m)).drop("version"), runs_sql())
+
+
+# --- preprocessing, gradient and choice against SQL ---
+def train_rows(m: Market) -> DataFrame:
+    return cut_lineage(ft.build_snapshots(m.gold_stored, tb.TRAIN))
+
+
+TRAIN_DAYS = ", ".join(f"DATE '{d}'" for d in tb.TRAIN)
+cte("train_rows", f"SELECT *, row_number() OVER () AS rid FROM model_snapshots WHERE snapshot_date IN ({TRAIN_DAYS})")
+
+
+def inputs_sql() -> str:
+    """rid, churned, place, input, kind, fill and value before centring, of every training row."""
+    parts, at = [], 0
+
+    def add(name, kind, fill, value, where="true"):
+        nonlocal at
+        parts.append(f"SELECT rid, churned, {at} AS place, '{name}' AS input, '{kind}' AS kind, {fill} AS fill, CAST({value} AS DOUBLE) AS v "
+                     f"FROM train_rows WHERE {where}")
+        at += 1
+
+    for c in NUMERIC_FEATURES:
+        middle = f"(SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM train_rows)"
+        add(f"num_{c}", "numeric", f"coalesce({middle}, 0e0)", f"coalesce({c}, {middle}, 0e0)")
+    for c in NUMERIC_FEATURES:
+        add(f"missing_{c}", "missing", "NULL", f"{c} IS NULL", f"(SELECT count(*) FROM train_rows WHERE {c} IS NULL) > 0")
+    for c in BINARY_FEATURES:
+        often = f"(SELECT {c} FROM train_rows WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+        add(f"bin_{c}", "binary", f"CAST({often} AS DOUBLE)", f"coalesce({c}, {often})")
+    channels = (f"SELECT rid, churned, {at} AS place, 'channel_' || ch AS input, 'channel' AS kind, NULL AS fill, "
+                "CAST(coalesce(signup_channel, '') = ch AS DOUBLE) AS v "
+                "FROM train_rows JOIN (SELECT DISTINCT signup_channel AS ch FROM train_rows WHERE signup_channel IS NOT NULL) ON true")
+    return " UNION ALL ".join([*parts, channels])
+
+
+cte("model_inputs", inputs_sql())
+cte("input_table", """
+SELECT row_number() OVER (ORDER BY place, input) - 1 AS place, input, kind, max(fill) AS fill,
+  CASE WHEN kind IN ('numeric', 'missing') THEN avg(v) END AS mean,
+  CASE WHEN kind IN ('numeric', 'missing') THEN stddev_pop(v) END AS deviation
+FROM model_inputs GROUP BY place, input, kind
+""")
+register(
+    "model_preprocessing",
+    lambda m: ml.preprocessing_table(train_rows(m), include_channel=True).withColumns(
+        {c: round_to(c, 6) for c in ("fill", "mean", "deviation")}),
+    f"SELECT place, input, kind, {', '.join(f'{rnd(c, 6)} AS {c}' for c in ('fill', 'mean', 'deviation'))} FROM input_table",
+)
 
 
-def test_metrics(m: Market, family: str) -> DataFrame:
-    return ml.metrics_row(trained(m, family), test_scored(m, family))
+def stand_in_weight(name: str) -> float:
+    """A weight for every input, made from its name."""
+    return (int(hashlib.md5(f"weight|{name}".encode()).hexdigest()[:7], 16) % 21 - 10) / 20
 
 
-register("model_coefficients", lambda m: ml.coefficients(trained(m, "behavioral"), m.spark).unionByName(
-    ml.coefficients(trained(m, "channel"), m.spark)))
-register("model_candidates", lambda m: m.spark.createDataFrame(
-    [(f, c["class_weight"], c["pr_auc"], c["top_20_recall"], c["roc_auc"])
-     for f in MODEL_NAMES for c in trained(m, f).candidates],
-    "family string, class_weight string, pr_auc double, top_20_recall double, roc_auc double"))
-register("model_test_metrics", lambda m: test_metrics(m, "behavioral").unionByName(test_metrics(m, "channel")))
-register("model_comparison", lambda m: ev.compare_models(test_metrics(m, "behavioral"), test_metrics(m, "channel")))
+def gradient_at_stand_in(m: Market) -> DataFrame:
+    rows = train_rows(m)
+    inputs = ml.fit_inputs(rows, include_channel=True)
+    names = [x.name for x in inputs]
+    out = ml.gradient_table(cut_lineage(ml.prepared(rows, inputs)), names, [stand_in_weight(n) for n in names], 0.25)
+    return out.withColumn("gradient", round_to("gradient", 6))
+
+
+cte("weighted_inputs", f"""
+SELECT rid, churned, m.input, ({hash_bucket('weight', 'm.input')} % 21 - 10) / 2e1 AS w,
+  CASE WHEN t.mean IS NULL THEN v WHEN t.deviation = 0 THEN v - t.mean ELSE (v - t.mean) / t.deviation END AS x
+FROM model_inputs m JOIN input_table t ON m.input = t.input
+""")
+cte("row_gaps", """
+SELECT rid, 1e0 / (1e0 + exp(-(sum(w * x) + 25e-2))) - max(churned) AS gap FROM weighted_inputs GROUP BY rid
+""")
+cte("gradient_rows", """
+SELECT input, max(w) AS weight, sum(gap * x) + max(w) AS gradient FROM weighted_inputs JOIN row_gaps USING (rid) GROUP BY input
+UNION ALL SELECT 'intercept', 25e-2, sum(gap) FROM row_gaps
+""")
+register("gradient_at_stand_in", gradient_at_stand_in, f"""
+SELECT input, weight, {rnd('gradient', 6)} AS gradient, abs(gradient) <= 1e-4 * (SELECT count(*) FROM train_rows) AS within_tolerance
+FROM gradient_rows""")
+register(
+    "stand_in_coefficients",
+    lambda m: ml.with_direction(m.spark.createDataFrame(
+        [("stand_in", x.name, stand_in_weight(x.name)) for x in ml.fit_inputs(train_rows(m), include_channel=True)],
+        "model_name string, feature string, coefficient double")),
+    """SELECT 'stand_in' AS model_name, input AS feature, weight AS coefficient, abs(weight) AS absolute_coefficient,
+  CASE WHEN weight >= 0 THEN 'increases_churn_risk' ELSE 'decreases_churn_risk' END AS direction
+FROM gradient_rows WHERE input <> 'intercept'""",
+)
 
 
-def validation_metrics(m: Market, family: str) -> DataFrame:
-    rows = stored(m).where(F.col("snapshot_date") == tb.VALIDATION)
-    return ml.metrics_row(trained(m, family), keep(
-        m, f"validation-{family}", lambda: cut_lineage(ml.score(trained(m, family).pipeline, rows))))
+def other_score(df: DataFrame) -> DataFrame:
+    """A second stand-in, worse than the first."""
+    noise = bucket("other", F.col("customer_id")) % 500
+    return df.withColumn("_l", F.col("days_since_last_order") + noise).withColumn(
+        "churn_probability", F.expr("((1000000L * _l) div (_l + 120L)) / 1000000D")).drop("_l")
 
 
-# the family is chosen before the test split is looked at
-register("model_selection", lambda m: ev.select_model(
-    validation_metrics(m, "behavioral").unionByName(validation_metrics(m, "channel"))))
-register("model_predictions", lambda m: ev.prediction_frame(
-    test_scored(m, "behavioral"), MODEL_NAMES["behavioral"], trained(m, "behavioral").threshold))
-register("model_scores", lambda m: sc.score_output(
-    cut_lineage(ml.score(trained(m, "behavioral").pipeline, ft.scoring_snapshot(m.gold_stored, tb.SCORE))), SCORED_AT))
-register("model_probability_violations", lambda m: ml.probability_violations(test_scored(m, "channel")))
+OTHER = f"(days_since_last_order + {hash_bucket('other', 'customer_id')} % 500)"
+cte("other_test", f"""SELECT *, ((1000000 * {OTHER}) // ({OTHER} + 120)) / 1e6 AS churn_probability
+FROM model_snapshots WHERE snapshot_date = DATE '{tb.TEST}'""")
+
+
+def for_other(text: str) -> str:
+    for name, other in (("scored_test", "other_test"), ("ranked_test", "other_ranked"), ("score_groups", "other_groups"), ("confusion", "other_confusion")):
+        text = re.sub(rf"\b{name}\b", other, text)
+    return text
+
+
+for name, other in (("ranked_test", "other_ranked"), ("score_groups", "other_groups"), ("confusion", "other_confusion")):
+    cte(other, for_other(CTES[name]))
+METRICS_SQL = (f"SELECT 'behavioral_only' AS model_name, 'none' AS class_weight, * FROM ({EVALUATE_SQL}) UNION ALL "
+               f"SELECT 'behavioral_plus_channel', 'none', * FROM ({for_other(EVALUATE_SQL)})")
+
+
+def stand_in_metrics(m: Market) -> DataFrame:
+    """Evaluation rows of two stand-in scores under the names of the two families."""
+    snapshot = cut_lineage(ft.build_snapshots(m.gold_stored, [tb.TEST]))
+    parts = []
+    for name, score in ((MODEL_NAMES["behavioral"], stand_in), (MODEL_NAMES["channel"], other_score)):
+        parts.append(ml.metrics_row(ml.Trained(name, "none", [], None, [], T), cut_lineage(score(snapshot))))
+    rows = parts[0].unionByName(parts[1])
+    return cut_lineage(rows.withColumns({"pr_auc": round_to("pr_auc", 9), "brier_score": round_to("brier_score", 9)}))
+
+
+register("stand_in_metrics", stand_in_metrics, METRICS_SQL)
+register("stand_in_selection", lambda m: ev.select_model(stand_in_metrics(m)),
+         f"SELECT * FROM ({METRICS_SQL}) ORDER BY pr_auc DESC, top_20_pct_recall DESC, roc_auc DESC, model_name LIMIT 1")
+
+
+def stand_in_comparison(m: Market) -> DataFrame:
+    rows = stand_in_metrics(m)
+    return ev.compare_models(*[rows.where(F.col("model_name") == name) for name in MODEL_NAMES.values()])
+
+
+COMPARED = ("roc_auc", "pr_auc", "precision", "recall", "f1", "top_10_pct_lift", "top_20_pct_recall")
+register("stand_in_comparison", stand_in_comparison, "SELECT " + ", ".join(
+    f"a.{c} AS base_{c}, b.{c} AS other_{c}, b.{c} - a.{c} AS {c}_delta" for c in COMPARED) +
+    f" FROM ({METRICS_SQL}) a, ({METRICS_SQL}) b WHERE a.model_name = 'behavioral_only' AND b.model_name = 'behavioral_plus_channel'")
