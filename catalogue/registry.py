@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping
 from functools import cached_property
 
@@ -12,7 +13,8 @@ from catalogue.sqlbase import sql as assemble
 from catalogue.dirt import DIRTY_TABLES, dirty_table
 from stallkeeper.plans.gold import Gold
 from stallkeeper.plans.silver import BUILDERS
-from stallkeeper.session import cut_lineage
+from stallkeeper.session import delete_at_exit, shared_folder
+from stallkeeper.sources.io import write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,9 +33,36 @@ class Market:
         return tb.LazyTables(self.bed.ENTITIES, lambda n: getattr(self.bed, n))
 
     @cached_property
-    def gold(self) -> Gold:
+    def gold_unstored(self) -> Gold:
+        """Gold as one plan from the driver tables on."""
         return Gold(self.clean, tb.AS_OF)
 
+    @cached_property
+    def gold(self) -> Gold:
+        """Gold over facts that the first query of a session stores in buckets."""
+        return self._loaded("gold", self.gold_unstored)
+
+    def _loaded(self, layer: str, gold: Gold) -> Gold:
+        place = self._place(layer)
+        if not self.spark.catalog.tableExists(f"{self._name(layer)}_fact_order_items"):
+            delete_at_exit(self.spark, place)
+        return gold.with_bucketed_facts(self._name(layer), place)
+
+    def _name(self, layer: str) -> str:
+        return f"{layer}_{hashlib.md5(self.folder.encode()).hexdigest()[:16]}"
+
+    def _place(self, layer: str) -> str:
+        return f"{shared_folder(self.spark)}/{self.spark.sparkContext.applicationId}-{self._name(layer)}"
+
+    def _once(self, layer: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table of this session that the first query which needs it writes."""
+        path = self._place(layer)
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            delete_at_exit(self.spark, path)
+            write_table(build(), path)
+        return self.spark.read.parquet(path)
+
     @cached_property
     def faulty(self) -> Mapping:
         return tb.LazyTables(DIRTY_TABLES, lambda n: dirty_table(n, self.clean[n]))
@@ -47,7 +76,8 @@ class Market:
     def arrived(self) -> Mapping[str, DataFrame]:
         """The raw tables as files, which is how cleaning meets them."""
         return tb.LazyTables(
-            self.bed.ENTITIES, lambda n: cut_lineage(self.raw[n]) if n in DIRTY_TABLES else self.raw[n]
+            self.bed.ENTITIES,
+            lambda n: self._once(f"raw_{n}", lambda: self.raw[n]) if n in DIRTY_TABLES else self.raw[n]
         )
 
     @cached_property
@@ -57,21 +87,21 @@ class Market:
     @cached_property
     def silver_stored(self) -> Mapping[str, DataFrame]:
         return tb.LazyTables(
-            self.bed.ENTITIES, lambda n: cut_lineage(self.silver[n]) if n in DIRTY_TABLES else self.silver[n]
+            self.bed.ENTITIES,
+            lambda n: self._once(f"silver_{n}", lambda: self.silver[n]) if n in DIRTY_TABLES else self.silver[n]
         )
 
     @cached_property
     def repaired(self) -> Gold:
         return Gold(self.silver, tb.AS_OF)
 
-    @cached_property
+    @property
     def gold_stored(self) -> Gold:
-        """Gold over written facts, for queries that read the facts in several branches."""
-        return self.gold.with_stored_facts()
+        return self.gold
 
     @cached_property
     def repaired_stored(self) -> Gold:
-        return Gold(self.silver_stored, tb.AS_OF).with_stored_facts()
+        return self._loaded("repaired", Gold(self.silver_stored, tb.AS_OF))
 
 
 def register(name: str, run: Callable[[Market], DataFrame], sql: str | None = None) -> None:

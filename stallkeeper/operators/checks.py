@@ -1,6 +1,6 @@
 """Declarative data checks: a check is a query for violating rows.
 
-Row checks of one table share a single scan, and so do its uniqueness checks; each reference needs an anti join.
+Row checks of one table share a single scan; its uniqueness checks and references share one shuffle of counted values.
 """
 
 from __future__ import annotations
@@ -66,11 +66,22 @@ def _result(c: Check, n: Column) -> Column:
     )
 
 
-def _repeated(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``n0, n1, ...``: how many values of each column occur more than once, in one scan and one shuffle."""
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])
-    values = df.select(F.inline(cells)).where("v IS NOT NULL").groupBy("i", "v").agg(F.count("*").alias("n"))
-    return values.where("n > 1").agg(*[F.count_if(F.col("i") == i).alias(f"n{i}") for i in range(len(cols))])
+def _by_value(df: DataFrame, unique: Sequence[str], refer: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
+    """``u0, u1, ...``: how many values of a column occur more than once; ``r0, r1, ...``: how many rows refer to a parent
+    that is not there. One scan of the table, one of each parent's key, and one shuffle of counted values."""
+    def cell(i: int, column: str, refers: bool):
+        return F.struct(F.lit(i).alias("i"), F.lit(refers).alias("refers"), F.col(column).cast("string").alias("v"))
+
+    cells = [cell(i, c, False) for i, c in enumerate(unique)] + [cell(i, c, True) for i, (c, _, _) in enumerate(refer)]
+    values = df.select(F.inline(F.array(*cells)), F.lit(1).alias("n"), F.lit(0).alias("there"))
+    for i, (_, parent, key) in enumerate(refer):
+        values = values.unionAll(parent.select(F.lit(i), F.lit(True), F.col(key).cast("string"), F.lit(0), F.lit(1)))
+    counted = values.where("v IS NOT NULL").groupBy("i", "refers", "v").agg(F.sum("n").alias("n"), F.max("there").alias("there"))
+    at = lambda i, refers: (F.col("i") == i) & (F.col("refers") == refers)
+    zero = F.lit(0).cast("bigint")
+    return counted.where("IF(refers, there = 0, n > 1)").agg(
+        *[F.count_if(at(i, False)).alias(f"u{i}") for i in range(len(unique))],
+        *[F.coalesce(F.sum(F.when(at(i, True), F.col("n"))), zero).alias(f"r{i}") for i in range(len(refer))])
 
 
 def run_checks(
@@ -89,12 +100,11 @@ def run_checks(
             lines = F.array(*[_result(c, F.col(f"n{i}")) for i, (c, _) in enumerate(by_row)])
             parts.append(counts.select(F.inline(lines)))
         unique = [c for c in mine if c.kind == "unique"]
-        if unique:
-            counts = _repeated(tables[table], [c.column for c in unique])
-            parts.append(counts.select(F.inline(F.array(*[_result(c, F.col(f"n{i}")) for i, c in enumerate(unique)]))))
-        for c in (c for c in mine if c.kind == "relationship"):
-            bad = check_fk(tables[table], c.column, tables[c.to[0]], c.to[1])
-            parts.append(bad.agg(F.count("*").alias("n")).select(F.inline(F.array(_result(c, F.col("n"))))))
+        refer = [c for c in mine if c.kind == "relationship"]
+        if unique or refer:
+            counts = _by_value(tables[table], [c.column for c in unique], [(c.column, tables[c.to[0]], c.to[1]) for c in refer])
+            lines = [_result(c, F.col(f"u{i}")) for i, c in enumerate(unique)] + [_result(c, F.col(f"r{i}")) for i, c in enumerate(refer)]
+            parts.append(counts.select(F.inline(F.array(*lines))))
     for c, bad in (queries or {}).items():
         parts.append(bad.agg(F.count("*").alias("n")).select(F.inline(F.array(_result(c, F.col("n"))))))
     return reduce(DataFrame.unionByName, parts)

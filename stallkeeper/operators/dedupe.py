@@ -1,14 +1,11 @@
-"""Duplicate handling without per-key sorts.
-
-The surviving row is an aggregate (smallest or largest ordering struct), so duplicates collapse
-map-side and a key that owns a third of the rows never meets in one task.
-"""
+"""Duplicate handling: only what is repeated is sorted, and a key that owns a third of the rows never meets in one task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,20 +17,23 @@ def dedupe(
     keep: str = "last",
     drop_null_key: bool = False,
 ) -> DataFrame:
-    """One row per key: the first or last by ``order_by`` (rows without it come last), then ``tie_break``."""
+    """One row per key: the first or last by ``order_by`` (rows without it come last), then ``tie_break``.
+
+    Rows per key are counted over the keys alone. Rows of a key that occurs once are the result as they are; only those of
+    repeated keys are put in order, and each task hands on the best that it has of a key, so a hot key does not meet
+    anywhere. Rows without a key share one.
+    """
     keys = [key] if isinstance(key, str) else list(key)
+    if keep not in ("first", "last"):
+        raise ValueError("keep must be 'first' or 'last'")
     if drop_null_key:
         df = df.dropna(subset=keys)
-    rest = F.struct(*[F.col(c) for c in df.columns if c not in keys])
-    missing = F.col(order_by).isNull()
-    if keep == "first":
-        winner = F.min_by(rest, F.struct(missing, F.col(order_by), F.col(tie_break)))
-    elif keep == "last":
-        winner = F.max_by(rest, F.struct(~missing, F.col(order_by), F.col(tie_break)))
-    else:
-        raise ValueError("keep must be 'first' or 'last'")
-    columns = df.columns
-    return df.groupBy(*keys).agg(winner.alias("_row")).select(*keys, "_row.*").select(*columns)
+    repeated = duplicate_keys(df, keys).select(*[F.col(k).alias(f"_{k}") for k in keys]).hint("shuffle_hash")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    order = [F.col(order_by).asc_nulls_last(), F.col(tie_break).asc()] if keep == "first" else [
+        F.col(order_by).desc_nulls_last(), F.col(tie_break).desc()]
+    ranked = df.join(repeated, same, "left_semi").withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return df.join(repeated, same, "left_anti").unionAll(ranked.where("_place = 1").drop("_place"))
 
 
 def duplicate_summary(df: DataFrame, key: str) -> DataFrame:

@@ -49,9 +49,16 @@ def delivered_items(items: DataFrame, orders: DataFrame, shipments: DataFrame) -
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, key: str | Sequence[str], how: str = "inner") -> DataFrame:
-    """Join that refuses repeated keys on either side."""
+    """Join that refuses repeated keys on either side when it runs; making the plan runs no job.
+
+    The refusal is a branch of the plan that yields no row: it counts rows per key on each side and raises an error at a
+    count above one. An action that stops before it has read every branch (``first``, ``take``) may miss it.
+    """
     keys = [key] if isinstance(key, str) else list(key)
+    joined = left.join(right, keys, how)
     for side, df in (("left", left), ("right", right)):
-        if not duplicate_keys(df, keys).isEmpty():
-            raise ValueError(f"repeated {keys} on the {side} side")
-    return left.join(right, keys, how)
+        found = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
+        refuse = F.raise_error(F.concat(F.lit(f"repeated {keys} on the {side} side: "), found)).cast("boolean")
+        repeated = duplicate_keys(df, keys).where(F.when(F.col("occurrences") > 1, refuse).otherwise(False))
+        joined = joined.unionAll(repeated.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in joined.schema]))
+    return joined

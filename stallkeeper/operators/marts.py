@@ -141,11 +141,9 @@ def mart_customer_ltv(dim_customers: DataFrame, fact_orders: DataFrame, as_of: d
 
 def mart_seller_health(dim_sellers: DataFrame, fact_items: DataFrame, as_of: dt.date) -> DataFrame:
     valid = F.col("is_gmv_valid")
-    # every sale is grouped once under its order and once under its product, both in one shuffle
-    as_order = F.struct(F.lit("order").alias("kind"), F.col("order_id").alias("id"))
-    as_product = F.struct(F.lit("product").alias("kind"), F.col("product_id").alias("id"))
-    sales = eligible(fact_items).select("*", F.inline(F.array(as_order, as_product)))
-    per_id = sales.groupBy("seller_id", "kind", "id").agg(
+    sales = eligible(fact_items)
+    # by order first, which facts stored in buckets of order_id need no exchange for, and by product beside it
+    per_order = sales.groupBy("seller_id", "order_id").agg(
         sum_if(F.col("quantity").cast("bigint"), valid).alias("qty"),
         sum_if(F.col("net_gmv_cents"), valid).alias("net"),
         sum_if(F.col("gross_gmv_cents"), valid).alias("gross"),
@@ -154,14 +152,15 @@ def mart_seller_health(dim_sellers: DataFrame, fact_items: DataFrame, as_of: dt.
         F.min("order_date").alias("first_date"),
         F.max("order_date").alias("last_date"),
     )
-    order = F.col("kind") == "order"
-    per_seller = per_id.groupBy("seller_id").agg(
-        F.count_if(order & F.col("id").isNotNull()).alias("total_orders"),
-        F.count_if(~order & (F.col("good") > 0) & F.col("id").isNotNull()).alias("active_products_sold"),
-        *[F.sum(F.when(order, F.col(c))).alias(c) for c in ("qty", "net", "gross", "bad", "good")],
+    per_seller = per_order.groupBy("seller_id").agg(
+        F.count("order_id").alias("total_orders"),
+        *[F.sum(c).alias(c) for c in ("qty", "net", "gross", "bad", "good")],
         F.min("first_date").alias("first_sale_date"),
         F.max("last_date").alias("last_sale_date"),
     )
+    products = sales.where(valid & F.col("product_id").isNotNull()).groupBy("seller_id", "product_id").agg(F.count("*").alias("n"))
+    sold = products.groupBy("seller_id").agg(F.count("*").alias("active_products_sold"))
+    per_seller = per_seller.join(sold, "seller_id", "left")
     zero = F.lit(0).cast("bigint")
     basis_points = F.floor(F.coalesce("commission_rate", F.lit(0.0)) * F.lit(10000.0) + F.lit(0.5))
     days = F.datediff(F.lit(as_of), F.col("last_sale_date")).cast("bigint")

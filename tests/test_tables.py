@@ -139,8 +139,77 @@ def test_joins(spark, rows):
     got = joins.delivered_items(items, orders, ships).collect()
     assert [(r["order_item_id"], r["delivered_at"]) for r in got] == [("i1", T(2001, 1, 5))]
     assert joins.join_one_to_one(orders, items.limit(2), "order_id").count() == 2
-    with pytest.raises(ValueError):
-        joins.join_one_to_one(orders, items.union(items), "order_id")
+    assert joins.join_one_to_one(orders, items.limit(2), "order_id", "left").columns == ["order_id", *orders.columns[1:], *items.columns[1:]]
+
+
+def test_repeated_keys_stop_a_one_to_one_join_when_it_runs(spark):
+    left = spark.range(4).selectExpr("id as k", "id * 2 as a")
+    right = spark.range(3).selectExpr("id as k", "id * 3 as b")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one-to-one", "planning")
+    try:
+        plans = [joins.join_one_to_one(left, right.union(right), "k"), joins.join_one_to_one(left.union(left.limit(1)), right, "k", "left")]
+        assert not tracker.getJobIdsForGroup("one-to-one")
+        for plan, side in zip(plans, ("right", "left")):
+            for act in (lambda p: p.collect(), lambda p: p.count(), lambda p: p.write.format("noop").mode("overwrite").save()):
+                with pytest.raises(Exception, match=f"repeated .* on the {side} side"):
+                    act(plan)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert sorted(tuple(r) for r in joins.join_one_to_one(left, right, "k", "left").collect()) == [(0, 0, 0), (1, 2, 3), (2, 4, 6), (3, 6, None)]
+    empty = spark.range(0).selectExpr("id as k", "id as b")
+    assert joins.join_one_to_one(left, empty, "k").count() == 0
+
+
+def test_dedupe_sorts_repeated_rows_only_and_splits_a_hot_key(spark):
+    rows = spark.range(0, 20000, 1, 8).selectExpr(
+        "if(id % 3 = 0, 'hot', if(id % 3 = 1, null, concat('k', id div 4))) as key", "id % 5000 as at", "id", "repeat(cast(id as string), 40) as wide")
+    kept = dedupe(rows, "key", "at", "id")
+    want = {}
+    for r in rows.collect():
+        if r["key"] not in want or (r["at"], r["id"]) > want[r["key"]]:
+            want[r["key"]] = (r["at"], r["id"])
+    assert {r["key"]: (r["at"], r["id"]) for r in kept.collect()} == want and kept.count() == len(want)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    # each task hands on one row of a key; nothing is aggregated over whole rows
+    assert "SortAggregate" not in plan and "WindowGroupLimit" in plan and "Partial" in plan
+    two = dedupe(rows.withColumn("part", F.col("id") % 2), ["key", "part"], "at", "id", "first", drop_null_key=True)
+    assert two.count() == rows.where("key is not null").selectExpr("key", "id % 2 as part").distinct().count()
+
+
+def test_references_and_repeats_of_a_table_in_one_shuffle(spark):
+    child = spark.createDataFrame([(1, 10, "a"), (2, 10, None), (2, 99, "b"), (None, None, "zz"), (5, 98, "a"), (6, 98, "zz")], "id int, p int, q string")
+    one, other = spark.createDataFrame([(10,), (11,), (None,)], "k int"), spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
+    suite = [checks.Check("t", "unique", "id"), checks.Check("t", "relationship", "p", to=("one", "k")),
+             checks.Check("t", "relationship", "q", to=("other", "k"), severity="warn"), checks.Check("t", "unique", "q")]
+    got = checks.run_checks({"t": child, "one": one, "other": other}, suite)
+    assert {r["check_name"]: (r["violations"], r["status"]) for r in got.collect()} == {
+        "unique_t_id": (1, "error"), "relationship_t_p": (3, "error"), "relationship_t_q": (2, "warn"), "unique_t_q": (2, "error")}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    nothing = checks.run_checks({"t": child.limit(0), "one": one, "other": other.limit(0)}, suite)
+    assert {r["violations"] for r in nothing.collect()} == {0}
+
+
+def test_bucketed_facts_join_without_an_exchange(spark, tmp_path):
+    from stallkeeper.sources.buckets import bucket_count, write_bucketed
+
+    assert bucket_count(0, spark) == 1 and bucket_count(10**10, spark) == 5000 and bucket_count(10**14, spark) == 100_000
+    left = write_bucketed(spark.range(3000).selectExpr("concat('o', id) as order_id", "id as a"), "left_facts", f"{tmp_path}/l", "order_id", 6)
+    right = write_bucketed(spark.range(9000).selectExpr("concat('o', id % 3000) as order_id", "id as b", "id % 7 as seller"), "right_facts",
+                           f"{tmp_path}/r", "order_id", 6)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = left.join(right, "order_id")
+        assert joined.count() == 9000
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        per_order = right.groupBy("seller", "order_id").count()
+        assert per_order.count() and "Exchange" not in per_order._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert left.where("order_id = 'o5'").count() == 1 and spark.read.parquet(f"{tmp_path}/l").count() == 3000
+    for table in ("left_facts", "right_facts"):
+        spark.sql(f"DROP TABLE {table}")
 
 
 def test_checks_find_planted_failures(spark):
