@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from stallkeeper.operators import checks, clean, facts, joins, profile
 from stallkeeper.operators.dedupe import dedupe, duplicate_summary, near_duplicates
-from stallkeeper.operators.ranking import exact_quantile, global_rank, ntile, pct_rank_decile, qcut_decile, running_sums
+from stallkeeper.operators.ranking import (exact_quantile, global_rank, ntile, ordered_blocks, pct_rank_decile, qcut_decile,
+                                            running_sums)
 from stallkeeper.sources import io
 from stallkeeper.sources.schemas import ENTITIES, raw_schema, score_schema
 
@@ -59,7 +61,7 @@ def test_global_rank_with_a_hot_value(spark, descending):
     # a third of the rows share one score
     data = [(f"c{i}", 0.25 if i % 3 == 0 else round(rng.random(), 3)) for i in range(3000)]
     df = spark.createDataFrame(data, "id string, score double")
-    got = {r["id"]: r["rank"] for r in global_rank(df, "score", "id", descending=descending, buckets=32).collect()}
+    got = {r["id"]: r["rank"] for r in global_rank(df, "score", "id", descending=descending, most=40).collect()}
     assert got == brute_rank(data, descending)
 
 
@@ -74,7 +76,7 @@ def test_global_rank_all_equal_and_small(spark, n):
 def test_hot_value_is_spread(spark):
     df = spark.range(20000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(
         F.rand(1)).alias("score"))
-    ranked = global_rank(df, "score", "id", buckets=64)
+    ranked = global_rank(df, "score", "id", most=50)
     largest = ranked.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert largest < 20000 / 4
     assert ranked.agg(F.count_distinct("rank")).first()[0] == 20000
@@ -101,12 +103,12 @@ def test_quantiles_and_running_sums(spark):
     data += [("c", 7.0), ("d", None)]
     df = spark.createDataFrame(data, "g string, v double")
     for q in (0.0, 0.5, 0.8, 1.0):
-        got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", q, ["g"], buckets=16).collect()}
+        got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", q, ["g"], most=9).collect()}
         for g in "abc":
             assert got[g] == pytest.approx(np.quantile([v for k, v in data if k == g], q), abs=1e-12)
         assert "d" not in got
     one = df.where("g = 'a'").groupBy("v").agg(F.count("*").alias("n"))
-    run = {r["v"]: (r["run_n"], r["all_n"]) for r in running_sums(one, "v", ["n"], descending=True, buckets=8).collect()}
+    run = {r["v"]: (r["run_n"], r["all_n"]) for r in running_sums(one, "v", ["n"], descending=True, most=11).collect()}
     a = [v for k, v in data if k == "a"]
     assert run == {v: (sum(x >= v for x in a), len(a)) for v in a}
 
@@ -278,3 +280,22 @@ def test_hot_customer_is_split_and_unused_dimensions_are_not_joined(spark):
     finally:
         for k, value in before.items():
             spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+
+
+@pytest.mark.parametrize("kind", ["one value", "one value and a crowd", "two values", "steps", "spread", "endless", "few"])
+def test_ranks_come_from_blocks_of_bounded_size(spark, kind):
+    rng = random.Random(kind)
+    n, most = (9000, 300) if kind != "few" else (5, 300)
+    draw = {
+        "one value": lambda i: 1.5 if i % 10 else rng.random() * 3, "one value and a crowd": lambda i: 0.0 if i % 3 == 0 else 1e-300 * rng.randrange(5),
+        "two values": lambda i: float(i % 2), "steps": lambda i: float(min(i % 40, 7)), "spread": lambda i: rng.gauss(0, 1e9),
+        "endless": lambda i: rng.choice([math.inf, -math.inf, -0.0, 5e-324]), "few": lambda i: float(i)}[kind]
+    values = {f"c{i}": draw(i) for i in range(n)}
+    df = spark.createDataFrame([*values.items(), ("none", None), ("nan", math.nan)], "id string, score double").repartition(4)
+    ranked = {r["id"]: (r["rank"], r["rank_n"]) for r in global_rank(df, "score", "id", most=most).collect()}
+    order = sorted(values, key=lambda c: (-values[c], hashlib.md5(c.encode()).hexdigest(), c))
+    assert ranked.pop("none") == ranked.pop("nan") == (None, None)
+    assert ranked == {c: (k, n) for k, c in enumerate(order, 1)}
+    blocks = ordered_blocks(df.where("score is not null and not isnan(score)").withColumn("h", F.md5("id")), "score", "h", most)
+    sizes = [r["n"] for r in blocks.groupBy("_b", "_t").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == n and max(sizes) <= most and len(sizes) <= 40 * n / most + 2
