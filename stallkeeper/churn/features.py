@@ -1,8 +1,9 @@
 """Point-in-time customer features.
 
-All snapshots come from one pass per source: rows fan out to the few snapshot dates that may see them
-(a literal list, no join) and are grouped by customer and snapshot. Every source is cut off by its own
-event time. Windows are open at the start and closed at the end.
+``build_snapshots`` reads each source once: all become events of a customer (an order, an item, a category bought, a
+return, a delivery, a review), events of one thing become a unit with its day, and units fan out to the few snapshot dates
+that may see them (a literal list, no join) and are grouped by customer and snapshot. Every source is cut off by its own
+event time. Windows are open at the start and closed at the end. The other functions give one part each.
 """
 
 from __future__ import annotations
@@ -42,24 +43,33 @@ def known_orders(fact_orders: DataFrame) -> DataFrame:
 def order_activity(fact_orders: DataFrame, dates: Dates, window_days: int = CHURN_WINDOW_DAYS) -> DataFrame:
     """Order features and the label count together, from one pass over the orders."""
     rows = see(known_orders(fact_orders), "order_date", dates, ahead=window_days)
-    day, sd = F.col("order_date"), F.col(SNAPSHOT)
-    past = day <= sd
+    g = rows.groupBy(*KEYS).agg(*_order_sums(F.lit(True), F.col("order_date"), F.col("amount"), F.col("paid")))
+    return g.where("total_orders >= 1").select(*KEYS, *_order_columns())
+
+
+def _order_sums(mine: Column, day: Column, amount: Column, paid: Column) -> list[Column]:
+    """Aggregates over orders (rows that are ``mine``) as a snapshot sees them."""
+    sd = F.col(SNAPSHOT)
+    past = mine & (day <= sd)
 
     def recent(days: int) -> Column:
         return past & (day > F.date_sub(sd, days))
 
-    g = rows.groupBy(*KEYS).agg(
+    return [
         F.max(F.when(past, day)).alias("last"),
         F.min(F.when(past, day)).alias("first"),
         F.count_if(past).alias("total_orders"),
         F.count_if(recent(30)).alias("orders_last_30d"),
         F.count_if(recent(90)).alias("orders_last_90d"),
-        F.sum(F.when(past, F.col("amount"))).alias("spend"),
-        F.sum(F.when(past, F.col("paid"))).alias("paid"),
+        F.sum(F.when(past, amount)).alias("spend"),
+        F.sum(F.when(past, paid)).alias("paid"),
         # an order without a total inside the window stays unknown, one outside counts as zero
-        F.sum(F.when(past, F.when(recent(90), F.col("amount")).otherwise(0))).alias("spend_90"),
-        F.count_if(~past).alias(WINDOW_ORDERS),
-    )
+        F.sum(F.when(past, F.when(recent(90), amount).otherwise(0))).alias("spend_90"),
+        F.count_if(mine & (day > sd)).alias(WINDOW_ORDERS),
+    ]
+
+
+def _order_columns() -> list[Column]:
     tenure = F.datediff(SNAPSHOT, "first")
     span = F.datediff("last", "first")
     several = F.col("total_orders") > 1
@@ -67,21 +77,20 @@ def order_activity(fact_orders: DataFrame, dates: Dates, window_days: int = CHUR
     trend = F.when(
         (F.col("spend") > 0) & (tenure > 90), F.col("spend_90") / F.nullif(per_period, F.lit(0.0))
     ).otherwise(1.0)
-    return g.where("total_orders >= 1").select(
-        *KEYS,
+    return [
         F.datediff(SNAPSHOT, "last").cast("bigint").alias("days_since_last_order"),
         tenure.cast("bigint").alias("days_since_first_order"),
-        "total_orders",
-        "orders_last_30d",
-        "orders_last_90d",
+        F.col("total_orders"),
+        F.col("orders_last_30d"),
+        F.col("orders_last_90d"),
         F.when(several, span / (F.col("total_orders") - F.lit(1.0))).alias("avg_days_between_orders"),
         dollars("spend").alias("lifetime_spend"),
         (F.col("spend") / F.nullif("paid", F.lit(0)) / F.lit(100.0)).alias("avg_order_value"),
         dollars("spend_90").alias("spend_last_90d"),
         trend.alias("spend_trend"),
         F.when(F.col("total_orders") == 1, 1).otherwise(0).cast("bigint").alias("is_single_order_customer"),
-        WINDOW_ORDERS,
-    )
+        F.col(WINDOW_ORDERS),
+    ]
 
 
 def order_features(fact_orders: DataFrame, dates: Dates) -> DataFrame:
@@ -196,17 +205,85 @@ def churn_labels(
     )
 
 
+def _event(kind: str, day: Column, key: Column | None = None, sub: Column | None = None, **measures: Column) -> Column:
+    """A struct of one shape for all kinds; s1 to s4 add up over the events of a unit, m1 and m2 keep their largest."""
+    text = lambda c: (F.lit(None) if c is None else c).cast("string")
+    number = lambda n: measures.get(n, F.lit(None)).cast("bigint").alias(n)
+    return F.struct(F.lit(kind).alias("kind"), day.cast("date").alias("day"), text(key).alias("key"), text(sub).alias("sub"),
+                    *[number(n) for n in ("s1", "s2", "s3", "s4", "m1", "m2")])
+
+
+def customer_units(gold) -> DataFrame:
+    """customer, kind, key, sub, day and measures: everything a customer's features are made of, each source read once.
+
+    What follows an order (its returns and deliveries, a bounded few) is gathered by order and joined to it, so that it
+    has the order's customer; the rest knows its customer. Nothing here depends on a snapshot date.
+    """
+    delivered = gold.shipments.where("status = 'delivered' AND delivered_at IS NOT NULL")
+    later = gold.returns.select("order_id", F.lit("return").alias("kind"), F.col("return_id").alias("id"),
+                                F.to_date("initiated_at").alias("day"), F.lit(None).cast("bigint").alias("delay")).unionByName(
+        delivered.select("order_id", F.lit("delivery").alias("kind"), F.lit(None).cast("string").alias("id"),
+                         F.to_date("delivered_at").alias("day"), F.col("delay_days").cast("bigint").alias("delay")))
+    later = later.where("order_id IS NOT NULL").groupBy("order_id").agg(F.collect_list(F.struct("kind", "id", "day", "delay")).alias("later"))
+    orders = eligible(gold.fact_orders).where(F.col(ID) != UNKNOWN_CUSTOMER_ID).select(ID, "order_id", "order_date", "total_amount_cents")
+
+    def one(n: Column) -> Column:
+        return n.cast("int")
+
+    def followed(x: Column) -> Column:
+        day, is_return = F.greatest(x.day, F.col("order_date")), x.kind == "return"
+        delivery = _event("delivery", day, day, s1=F.coalesce(one(x.delay > 0), F.lit(0)), s2=x.delay, s3=one(x.delay.isNotNull()), s4=F.lit(1))
+        return F.when(is_return, F.array(_event("return", day, F.col("order_id"), x.id), _event("return_order", day, F.col("order_id")))).otherwise(
+            F.array(delivery))
+
+    placed = _event("order", F.col("order_date"), F.col("order_id"), s1=F.col("total_amount_cents"), s2=one(F.col("total_amount_cents").isNotNull()))
+    events = orders.join(later, "order_id", "left").select(ID, F.inline(F.concat(
+        F.array(placed), F.flatten(F.transform(F.coalesce("later", F.array()), followed)))))
+
+    items = eligible(gold.fact_order_items).where(F.col(ID) != UNKNOWN_CUSTOMER_ID)
+    sold, valid = F.coalesce(F.col("quantity") > 0, F.lit(False)), F.coalesce("is_gmv_valid", F.lit(False))
+    discounted = valid & (F.coalesce("discount_amount_cents", F.lit(0)) > 0)
+    line = _event("item", F.col("order_date"), F.col("order_id"), s1=one(sold), m1=one(valid), m2=one(discounted))
+    bought = F.when(sold & F.col("category").isNotNull(), F.array(line, _event("category", F.col("order_date"), F.col("category")))).otherwise(F.array(line))
+    reviewed = F.to_date("submitted_at")
+    reviews = gold.reviews.select(ID, F.inline(F.array(_event(
+        "review", reviewed, reviewed, s2=F.col("rating"), s3=one(F.col("rating").isNotNull()), s4=F.lit(1)))))
+    events = events.unionByName(items.select(ID, F.inline(bought))).unionByName(reviews)
+    return events.groupBy(ID, "kind", "key", "sub").agg(
+        F.min("day").alias("day"), *[F.sum(c).alias(c) for c in ("s1", "s2", "s3", "s4")], *[F.max(c).alias(c) for c in ("m1", "m2")])
+
+
+def activity(units: DataFrame, dates: Dates, window_days: int = CHURN_WINDOW_DAYS) -> DataFrame:
+    """All features that come from events, per customer and snapshot, in one aggregate over the units."""
+    kind, past = F.col("kind"), F.col("day") <= F.col(SNAPSHOT)
+    seen = see(units, "day", dates, ahead=window_days).where(past | (kind == "order"))
+
+    def total(of: str, column: str) -> Column:
+        return F.sum(F.when(kind == of, F.col(column)))
+
+    g = seen.groupBy(*KEYS).agg(
+        *_order_sums(kind == "order", F.col("day"), F.col("s1"), F.col("s2")),
+        F.count_if(kind == "category").alias("category_count"),
+        total("item", "s1").alias("historical_item_count"),
+        (total("item", "m2") / F.nullif(total("item", "m1"), F.lit(0))).alias("discount_order_rate"),
+        F.count_if(kind == "return").alias("return_count"),
+        F.count_if(kind == "return_order").alias("orders_with_returns"),
+        total("review", "s4").alias("review_count"),
+        ratio(total("review", "s2"), total("review", "s3")).alias("avg_rating_given"),
+        F.max(F.when(kind == "review", 1)).cast("bigint").alias("has_review"),
+        total("delivery", "s1").alias("late_delivery_count"),
+        ratio(total("delivery", "s2"), total("delivery", "s3")).alias("avg_delivery_delay"),
+        F.max(F.when(kind == "delivery", 1)).cast("bigint").alias("has_completed_delivery"),
+    )
+    return g.where("total_orders >= 1").select(
+        *KEYS, *_order_columns(), "category_count", "historical_item_count", "discount_order_rate", "return_count", "orders_with_returns",
+        "review_count", "avg_rating_given", "has_review", "late_delivery_count", "avg_delivery_delay", "has_completed_delivery")
+
+
 def build_snapshots(gold, dates: Dates, with_label: bool = True) -> DataFrame:
-    """Features (and label) per customer and snapshot; every part is grouped on the same two keys."""
+    """Features (and label) per customer and snapshot; each source is read once for all snapshots."""
     zero = F.lit(0).cast("bigint")
-    joined = (
-        order_activity(gold.fact_orders, dates)
-        .join(item_features(gold.fact_order_items, dates), KEYS, "left")
-        .join(return_counts(gold.fact_orders, gold.returns, dates), KEYS, "left")
-        .join(review_features(gold.reviews, dates), KEYS, "left")
-        .join(delivery_features(gold.fact_orders, gold.shipments, dates), KEYS, "left")
-        .join(customer_attributes(gold.dim_customers, dates), KEYS, "inner")
-    )
+    joined = activity(customer_units(gold), dates).join(customer_attributes(gold.dim_customers, dates), KEYS, "inner")
     joined = joined.select("*", F.when(F.col(WINDOW_ORDERS) == 0, 1).otherwise(0).cast("bigint").alias(LABEL))
     returns = dict(zip(("return_count", "has_return", "return_order_rate", "return_item_rate"), _return_columns()))
     counts = ("category_count", "historical_item_count", "review_count", "late_delivery_count")
