@@ -10,10 +10,18 @@ from stallkeeper.session import cut_lineage, ship_package
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose line-CRF score reaches the threshold; held-out labels are not learnt from."""
+    """Documents whose line-CRF score reaches the threshold; held-out labels are not learnt from.
+
+    Without labelled documents of both classes nothing can be told apart: that is an error, and no reason to drop a corpus.
+    """
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(~line_crf.is_held_out("doc_id"))
-    scored = line_crf.score(docs, line_crf.train(docs, labels))
+    model = line_crf.train(docs, labels)
+    if not model.weights.any():
+        if docs.isEmpty():
+            return docs
+        raise ValueError("the quality stage needs labelled documents of both classes that are not held out")
+    scored = line_crf.score(docs, model)
     return scored.where(F.col("quality_score") >= line_crf.THRESHOLD).select(*docs.columns)
 
 
