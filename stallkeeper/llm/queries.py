@@ -147,13 +147,20 @@ def _own_folder(spark: SparkSession, name: str) -> str:
 
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents come in; one of twenty sources' worth of ids is then revised in place, and every batch is sent twice."""
+    """All documents come in with tokens estimated from their length; every one is then revised to its true count, one
+    source is deleted and comes in again. The revision arrives before the load, all is sent twice, and folded in between."""
     counts = cut_lineage(token_counts.token_counts(table(spark, folder, "documents")))
+    rough = counts.withColumn("tokens", F.expr("chars div 4"))
+    moved = counts.where(F.col("source").eqNullSafe(F.lit(counts.agg(F.min("source").alias("source")).first()["source"])))
+    batches = {
+        "revise": token_counts.revised(rough, counts), "load": rough.withColumn("sign", F.lit(1)),
+        "delete": moved.withColumn("sign", F.lit(-1)), "again": moved.withColumn("sign", F.lit(1))}
     rollup = token_counts.TokenRollup(spark, _own_folder(spark, "rollup"))
-    again = counts.where("id % 20 = 0")
-    for _ in range(2):
-        rollup.commit("load", counts.selectExpr("*", "1 AS sign"))
-        rollup.commit("revise", token_counts.revised(again, again))
+    for turn in range(2):
+        for name, changes in batches.items():
+            rollup.commit(name, changes)
+            if name == "load":
+                rollup.compact()
     return rollup.totals()
 
 

@@ -9,7 +9,7 @@ one base table that names the batches it holds. Counting combines before the shu
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +46,8 @@ class TokenRollup:
     """Totals in a folder that all executors reach.
 
     Null sources and languages are groups of their own. Rows count as often as they occur. A rollup without batches is an
-    empty table, and a group whose totals are all back to zero is left out.
+    empty table, an empty table of changes is a batch that changes nothing, and a group whose totals are all back to zero
+    is left out. Texts are counted whole, however long.
     """
 
     SCHEMA = "source string, lang string, tokenizer string, documents long, tokens long, chars long"
@@ -79,30 +80,41 @@ class TokenRollup:
             "overwrite").parquet(f"{self.path}/batches/{batch}")
         return True
 
-    def _base(self) -> tuple[str | None, list[str]]:
-        bases = self._finished("bases")
+    def _state(self) -> tuple[str | None, list[str], list[str]]:
+        """The newest base, the batches that it holds, and those beside it; listed once, so that all three agree.
+
+        Batches are listed before bases: one that is committed in between is in neither list, and read the next time.
+        """
+        batches, bases = self._finished("batches"), self._finished("bases")
         if not bases:
-            return None, []
-        held = self.spark.read.parquet(f"{self.path}/bases/{bases[-1]}/held")
-        return bases[-1], [r["batch"] for r in held.collect()]
+            return None, [], batches
+        held = [r["batch"] for r in self.spark.read.parquet(f"{self.path}/bases/{bases[-1]}/held").collect()]
+        return bases[-1], held, [b for b in batches if b not in held]
 
     def batches(self) -> list[str]:
-        return sorted({*self._finished("batches"), *self._base()[1]})
+        _, held, beside = self._state()
+        return sorted({*held, *beside})
 
     def totals(self) -> DataFrame:
-        base, held = self._base()
-        parts = [f"{self.path}/bases/{base}/totals"] * (base is not None)
-        parts += [f"{self.path}/batches/{b}" for b in self._finished("batches") if b not in held]
-        tables = [self.spark.read.schema(self.SCHEMA).parquet(p) for p in parts] or [self.spark.createDataFrame([], self.SCHEMA)]
-        return reduce(DataFrame.union, tables).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in TOTALS)).where(
-            " OR ".join(f"{c} <> 0" for c in TOTALS))
+        base, _, beside = self._state()
+        return self._sum(base, beside)
+
+    def _sum(self, base: str | None, beside: list[str]) -> DataFrame:
+        """Base and batches as one scan over a list of folders."""
+        parts = [f"{self.path}/bases/{base}/totals"] * (base is not None) + [f"{self.path}/batches/{b}" for b in beside]
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], self.SCHEMA)
+        return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in TOTALS)).where(" OR ".join(f"{c} <> 0" for c in TOTALS))
 
     def compact(self) -> None:
-        """Fold all batches into a new base; readers use the newest base that is whole."""
-        held, number = self.batches(), len(self._finished("bases"))
-        path = f"{self.path}/bases/{number:08d}"
-        self.totals().write.mode("overwrite").parquet(f"{path}/totals")
-        self.spark.createDataFrame([(b,) for b in held], "batch string").write.mode("overwrite").parquet(f"{path}/held")
+        """Fold all batches into a new base; readers use the newest base that is whole.
+
+        The base names the batches that it was made of. A batch committed meanwhile is not among them and counts beside it.
+        """
+        base, held, beside = self._state()
+        number = len(self._finished("bases"))
+        path = f"{self.path}/bases/{number:08d}-{uuid.uuid4().hex}"
+        self._sum(base, beside).write.parquet(f"{path}/totals")
+        self.spark.createDataFrame([(b,) for b in (*held, *beside)], "batch string").write.parquet(f"{path}/held")
         self.spark.createDataFrame([], "done string").write.mode("append").parquet(path)
 
 
