@@ -12,6 +12,7 @@ every partition on all of its training documents (one in ``share``) and averaged
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -30,6 +31,8 @@ SLOTS = 2_048  # of these, words the output layer tells apart
 CLASSES = 48
 HIDDEN = 24
 WINDOW = 24
+CHUNK_TOKENS = 1_000_000  # a task trains on and scores texts of about so many tokens at a time
+CLASS_PASS = 65_536  # states that one pass over the classes scores
 SAMPLE_DOCS = 600
 SAMPLE_WORDS = 400_000
 SHARE = 1  # one in so many training documents is trained on in its partition: all of them
@@ -96,8 +99,56 @@ class Vocabulary:
         return slot, at, out, classes
 
 
+class Lanes:
+    """Texts dealt end to end to lanes of about equal length, which are read side by side, a step of each at a time.
+
+    A lane is as long as the longest text at least, so there are as many lanes as keep all of them full, ``width`` at most.
+    Arrays are steps x lanes, long lanes first: ``target`` is the slot (-1 past a lane's end), ``seen`` the slot before it
+    (``start`` where a text begins), ``fresh`` tells where that is. Texts are not cut: the state runs through each.
+    """
+
+    def __init__(self, texts: list[np.ndarray], width: int, start: int):
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(-self.sizes, kind="stable")
+        order = order[self.sizes[order] > 0]
+        longest = int(self.sizes[order[0]]) if len(order) else 1
+        self.number = max(1, min(width, int(self.sizes.sum()) // longest))
+        shortest = [(0, i) for i in range(self.number)]
+        lanes: list[list[int]] = [[] for _ in range(self.number)]
+        for k in order:
+            size, i = heapq.heappop(shortest)
+            lanes[i].append(int(k))
+            heapq.heappush(shortest, (size + int(self.sizes[k]), i))
+        lanes.sort(key=lambda lane: -int(self.sizes[lane].sum()))
+        self.lengths = np.array([int(self.sizes[lane].sum()) for lane in lanes])
+        shape = (int(self.lengths.max(initial=0)), self.number)
+        self.target, self.seen = np.full(shape, -1, np.int32), np.full(shape, start, np.int32)
+        self.fresh = np.zeros(shape, bool)
+        self.where = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)  # lane and first step of each text
+        for i, lane in enumerate(lanes):
+            at = 0
+            for k in lane:
+                text = texts[k]
+                self.target[at : at + len(text), i] = text
+                self.seen[at + 1 : at + len(text), i] = text[:-1]
+                self.fresh[at, i] = True
+                self.where[0][k], self.where[1][k] = i, at
+                at += len(text)
+
+    def windows(self):
+        """First step, step after the last, and number of lanes that are not at their end, of each window."""
+        for at in range(0, len(self.target), WINDOW):
+            yield at, min(len(self.target), at + WINDOW), int(np.searchsorted(-self.lengths, -at))
+
+    def by_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the places of each text."""
+        sums = np.concatenate([np.zeros((1, self.number)), np.cumsum(values, 0)])
+        lane, first = self.where
+        return sums[first + self.sizes, lane] - sums[first, lane]
+
+
 class Gru:
-    """Weights and the passes over windows of parallel documents."""
+    """Weights and the passes over windows of lanes."""
 
     def __init__(self, vocabulary: Vocabulary, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -120,12 +171,13 @@ class Gru:
         """The input before the first word."""
         return len(self.w["x"]) - 1
 
-    def states(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States before each step's word is seen, for inputs (documents x steps); also the last state, at the end."""
-        x, u, n = self.w["x"], self.w["u"], HIDDEN
-        out = np.empty((inputs.shape[1], *h.shape), np.float32)
-        for t, seen in enumerate(np.ascontiguousarray(inputs.T)):
-            g = x[seen]
+    def states(self, inputs: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
+        """States after each step's input, the word before, for inputs (steps x lanes); where ``fresh``, a text begins anew."""
+        u, n, given = self.w["u"], HIDDEN, self.w["x"][inputs]
+        out = np.empty((*inputs.shape, n), np.float32)
+        for t, g in enumerate(given):
+            if fresh is not None and fresh[t].any():
+                h = np.where(fresh[t][:, None], np.float32(0), h)
             a = h @ u
             rz = g[:, : 2 * n] + a[:, : 2 * n]
             np.exp(np.negative(rz, out=rz), out=rz)
@@ -200,55 +252,51 @@ class Gru:
         return logs, back
 
     def train(self, texts: list[np.ndarray], width: int = 128, rate: float = 0.08) -> None:
-        """One pass of truncated backpropagation: ``width`` texts side by side, the state carried between windows."""
-        texts = sorted((t for t in texts if len(t)), key=len)
-        for group in range(0, len(texts), width):
-            part = texts[group : group + width][::-1]
-            length = np.array([len(t) for t in part])
-            flat, begin = np.concatenate(part), np.concatenate([[0], np.cumsum(length)[:-1]])
-            h = np.zeros((len(part), HIDDEN), np.float32)
-            for at in range(0, int(length[0]), WINDOW):
-                live = int(np.searchsorted(-length, -at))  # texts longer than at
-                h = self._window(flat, begin[:live], length[:live], at, h[:live], rate)
-
-    def _inputs(self, flat, begin, length, at, steps):
-        """Inputs (the word before), targets and which of them are inside the text, documents x steps."""
-        place = at + np.arange(steps)
-        inside = place[None, :] < length[:, None]
-        where = np.minimum(begin[:, None] + place[None, :], len(flat) - 1)
-        before = np.where(place[None, :] == 0, self.first, flat[np.maximum(where - 1, 0)])
-        return before, flat[where], inside
-
-    def _window(self, flat, begin, length, at, h, rate):
-        steps = int(min(WINDOW, length[0] - at))
-        inputs, target, inside = self._inputs(flat, begin, length, at, steps)
+        """One pass of truncated backpropagation through ``width`` lanes of texts, the state carried between windows."""
+        lay = Lanes(texts, width, self.first)
+        h = np.zeros((lay.number, HIDDEN), np.float32)
+        for at, end, live in lay.windows():
+            h = self._window(lay.seen[at:end, :live], lay.target[at:end, :live], lay.fresh[at:end, :live], h[:live], rate)
+
+    def gradients(self, inputs: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+        """The summed loss's gradients by every weight but the inputs', by each step's input, and the last state."""
+        steps, n, u = len(inputs), HIDDEN, self.w["u"]
         keep: list = []
-        out = self.states(inputs, h, keep)
-        mask = inside.T
+        out = self.states(inputs, h, fresh, keep)
+        mask = target >= 0
         grads = {k: np.zeros_like(a) for k, a in self.w.items() if k != "x"}
-        _, back = self.log_probs(out[mask], target.T[mask], grads)
+        _, back = self.log_probs(out[mask], target[mask], grads)
         d = np.zeros_like(out)
         d[mask] = back
-        n, u = HIDDEN, self.w["u"]
-        dh, dx = np.zeros_like(h), np.empty((steps, len(h), 3 * n), np.float32)
+        dh = np.zeros_like(h)
+        dx, da = (np.empty((steps, len(h), 3 * n), np.float32) for _ in range(2))
         for t in range(steps - 1, -1, -1):
             old, r, z, new, an = keep[t]
             dh = dh + d[t]
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (old - new) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            dx[t] = np.concatenate([dr, dz, dn], 1)
-            a = np.concatenate([dr, dz, dn * r], 1)
-            grads["u"] += old.T @ a
-            dh = dh * z + a @ u.T
-        which = inputs.T.ravel()
+            through = dh * z
+            dr, dz, dn = dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :]
+            np.multiply(dh - through, 1 - new * new, out=dn)
+            np.multiply(through * (old - new), 1 - z, out=dz)
+            np.multiply(dn * an, r * (1 - r), out=dr)
+            da[t, :, : 2 * n] = dx[t, :, : 2 * n]
+            np.multiply(dn, r, out=da[t, :, 2 * n :])
+            dh = through + da[t] @ u.T
+            dh[fresh[t]] = 0
+        before = np.stack([k[0] for k in keep])
+        grads["u"] += before.reshape(-1, n).T @ da.reshape(-1, 3 * n)
+        return grads, dx, out[-1]
+
+    def _window(self, inputs, target, fresh, h, rate):
+        grads, dx, last = self.gradients(inputs, target, fresh, h)
+        which = inputs.ravel()
         order = np.argsort(which, kind="stable")
         rows, first = np.unique(which[order], return_index=True)
-        count = max(1, int(mask.sum()))
+        count = max(1, int((target >= 0).sum()))
         for k in grads:
             self._step(self.w[k], self.square[k], grads[k] / count, rate, slice(None))
-        self._step(self.w["x"], self.square["x"], np.add.reduceat(dx.reshape(-1, 3 * n)[order], first) / count, rate, rows)
-        return out[-1]
+        slope = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first) / count
+        self._step(self.w["x"], self.square["x"], slope, rate, rows)
+        return last
 
     @staticmethod
     def _step(weight, square, slope, rate, rows) -> None:
@@ -259,26 +307,24 @@ class Gru:
 
     def scores(self, texts: list[np.ndarray], width: int = 512) -> np.ndarray:
         """Natural log probability of the slots of each whole text."""
-        result = np.zeros(len(texts))
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        for group in range(0, len(order), width):
-            part = order[group : group + width]
-            length = np.array([len(texts[i]) for i in part])
-            flat, begin = np.concatenate([texts[i] for i in part]), np.concatenate([[0], np.cumsum(length)[:-1]])
-            h = np.zeros((len(part), HIDDEN), np.float32)
-            for at in range(0, int(length[0]), WINDOW):
-                live = int(np.searchsorted(-length, -at))
-                steps = int(min(WINDOW, length[0] - at))
-                inputs, target, inside = self._inputs(flat, begin[:live], length[:live], at, steps)
-                out = self.states(inputs, h[:live])
-                place = np.flatnonzero(inside.T)
-                slot = target.T.ravel()[place]
+        lay = Lanes(texts, width, self.first)
+        logs = np.zeros(lay.target.shape)
+        h, held, places, waiting = np.zeros((lay.number, HIDDEN), np.float32), [], [], 0
+        for at, end, live in lay.windows():
+            out = self.states(lay.seen[at:end, :live], h[:live], lay.fresh[at:end, :live])
+            inside = lay.target[at:end, :live] >= 0
+            step, lane = np.nonzero(inside)
+            held.append(out[inside])
+            places.append((step + at) * lay.number + lane)
+            waiting += len(step)
+            h = out[-1]
+            if waiting >= CLASS_PASS or end == len(lay.target):  # one pass over the classes for many windows
+                place = np.concatenate(places)
+                slot = lay.target.ravel()[place]
                 sort = self.by_class(slot)
-                place = place[sort]
-                logs, _ = self._sorted_log_probs(out.reshape(-1, HIDDEN)[place], slot[sort], None)
-                result[part] += np.bincount(place % live, logs, len(part))
-                h = out[-1]
-        return result
+                logs.ravel()[place[sort]], _ = self._sorted_log_probs(np.concatenate(held)[sort], slot[sort], None)
+                held, places, waiting = [], [], 0
+        return lay.by_text(logs)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.w.values()])
@@ -368,21 +414,24 @@ def train(docs: DataFrame, words: Vocabulary, id_column: str = "doc_id", text_co
     size = sum(a.size for a in model.w.values())
 
     def local(batches):
-        mine, seen = None, []
+        weight, seen, held = 0, [], 0
+
+        def learn():
+            nonlocal weight, seen, held
+            model.train(seen, rate=0.03)
+            weight, seen, held = weight + held, [], 0
+
         for batch in batches:
-            seen += [words.slots(split_words(t.as_py()))[0] for t in batch.column("text")]
-            if sum(map(len, seen)) > 200_000:
-                mine, weight = mine or [model, 0], sum(map(len, seen))
-                mine[0].train(seen, rate=0.03)
-                mine[1] += weight
-                seen = []
+            for text in batch.column("text"):
+                seen.append(words.slots(split_words(text.as_py()))[0])
+                held += len(seen[-1])
+                if held > CHUNK_TOKENS:
+                    learn()
         if seen:
-            mine, weight = mine or [model, 0], sum(map(len, seen))
-            mine[0].train(seen, rate=0.03)
-            mine[1] += weight
-        if mine:
+            learn()
+        if weight:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(size), pa.int32()), pa.array(mine[0].flat().astype(np.float64) * mine[1]), pa.array(np.full(size, float(mine[1])))],
+                [pa.array(np.arange(size), pa.int32()), pa.array(model.flat().astype(np.float64) * weight), pa.array(np.full(size, float(weight)))],
                 names=["i", "v", "w"])
 
     part = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
@@ -438,7 +487,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 texts.append(slot)
                 others.append(out)
                 held += len(slot)
-                if held > 1_000_000:
+                if held > CHUNK_TOKENS:
                     yield result(batch.slice(begin, i + 1 - begin), texts, found, others)
                     texts, found, others, begin, held = [], [], [], i + 1, 0
             if texts:
