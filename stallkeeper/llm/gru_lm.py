@@ -31,8 +31,9 @@ SLOTS = 2_048  # of these, words the output layer tells apart
 CLASSES = 48
 HIDDEN = 24
 WINDOW = 24
-CHUNK_TOKENS = 1_000_000  # a task trains on and scores texts of about so many tokens at a time
-CLASS_PASS = 65_536  # states that one pass over the classes scores
+TRAIN_TOKENS = 3_000_000  # a task trains on texts of about so many tokens at a time
+SCORE_TOKENS = 1_000_000  # and scores so many
+CLASS_PASS = 16_384  # states that one pass over the classes scores
 SAMPLE_DOCS = 600
 SAMPLE_WORDS = 400_000
 SHARE = 1  # one in so many training documents is trained on in its partition: all of them
@@ -82,21 +83,43 @@ class Vocabulary:
     def tail_slot(self, classes):
         return self.slot_start[np.asarray(classes) + 1] - 1
 
-    def slots(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Slot and place in the head (-1: not there) of each word and the end; the words outside the head, and their classes."""
-        get = self.head.get
-        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-        at = np.append(at, self.head[END])
+    def slots(self, texts: list[list[bytes]]) -> Slots:
+        """Of all words and ends of the texts, in a row."""
+        flat = [w for text in texts for w in (*text, END)]
+        edges = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+        at = np.fromiter(map(self.head.get, flat, repeat(-1)), np.int64, len(flat))
         slot = np.empty(len(at), np.int64)
         known = at >= 0
         front = known & (at < SLOTS)
         slot[front] = self.slot_of[at[front]]
         rest = known & ~front
         slot[rest] = self.tail_slot(self.head_class[at[rest]])
-        out = [words[i] for i in np.flatnonzero(~known)]
-        classes = np.fromiter(map(word_class, out), np.int64, len(out))
-        slot[~known] = self.tail_slot(classes)
-        return slot, at, out, classes
+        places = np.flatnonzero(~known)
+        out = [flat[i] for i in places.tolist()]
+        of = {}
+        classes = np.fromiter((of[p] if (p := w[:3]) in of else of.setdefault(p, word_class(w)) for w in out), np.int64, len(out))
+        slot[places] = self.tail_slot(classes)
+        return Slots(edges, slot, at, out, classes, np.searchsorted(edges, places, "right") - 1)
+
+
+@dataclass
+class Slots:
+    """Texts as slots: where each begins in the arrays, slots, places in the head (-1: not there), and the words outside
+    the head with their classes and texts."""
+
+    edges: np.ndarray
+    slot: np.ndarray
+    at: np.ndarray
+    out: list[bytes]
+    classes: np.ndarray
+    owner: np.ndarray
+
+    def by_text(self) -> list[np.ndarray]:
+        return np.split(self.slot, self.edges[1:-1]) if len(self.edges) > 1 else []
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the places of each text; every text has its end at least."""
+        return np.add.reduceat(values, self.edges[:-1])
 
 
 class Lanes:
@@ -251,7 +274,7 @@ class Gru:
                 back[a:b] += e @ w["s"][:, low:high].T
         return logs, back
 
-    def train(self, texts: list[np.ndarray], width: int = 128, rate: float = 0.08) -> None:
+    def train(self, texts: list[np.ndarray], width: int = 256, rate: float = 0.08) -> None:
         """One pass of truncated backpropagation through ``width`` lanes of texts, the state carried between windows."""
         lay = Lanes(texts, width, self.first)
         h = np.zeros((lay.number, HIDDEN), np.float32)
@@ -396,7 +419,7 @@ def train(docs: DataFrame, words: Vocabulary, id_column: str = "doc_id", text_co
     def slots(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(
-                [words.slots(split_words(t.as_py()))[0].astype(np.int32).tobytes() for t in batch.column("text")], pa.binary())], names=["slots"])
+                [words.slots([split_words(t.as_py())]).slot.astype(np.int32).tobytes() for t in batch.column("text")], pa.binary())], names=["slots"])
 
     # the sample is made of the smallest hashes; ids and hashes are sorted, whole texts are not. It is stored before the
     # driver reads it, so that all partitions are searched at once
@@ -418,14 +441,14 @@ def train(docs: DataFrame, words: Vocabulary, id_column: str = "doc_id", text_co
 
         def learn():
             nonlocal weight, seen, held
-            model.train(seen, rate=0.03)
+            model.train(words.slots(seen).by_text(), rate=0.03)
             weight, seen, held = weight + held, [], 0
 
         for batch in batches:
             for text in batch.column("text"):
-                seen.append(words.slots(split_words(text.as_py()))[0])
-                held += len(seen[-1])
-                if held > CHUNK_TOKENS:
+                seen.append(split_words(text.as_py()))
+                held += len(seen[-1]) + 1
+                if held > TRAIN_TOKENS:
                     learn()
         if seen:
             learn()
@@ -468,30 +491,32 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     def work(batches):
         from collections import Counter
 
-        def result(part, texts, found, others):
-            others = [Counter(o) for o in others]
+        def result(part, texts):
+            found = words.slots(texts)
+            others = [Counter() for _ in texts]
+            for word, text in zip(found.out, found.owner.tolist()):
+                others[text][word] += 1
             edges = np.concatenate([[0], np.cumsum([len(o) for o in others])]).astype(np.int32)
             flat = pa.StructArray.from_arrays(
                 [pa.array([w for o in others for w in o], pa.binary()), pa.array([n for o in others for n in o.values()], pa.int64())], names=["word", "n"])
-            n, known, low, high = (np.array(x) for x in zip(*found))
+            inside = found.at >= 0
+            held = lambda values: found.sums(np.where(inside, values[found.at], 0))
+            far_out = np.bincount(found.owner, far[found.classes], len(texts))
             return pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("seen"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(low, pa.float64()),
-                 pa.array(model.scores(texts) / LN10 + high), pa.ListArray.from_arrays(pa.array(edges), flat)], names=[f.name for f in fields])
+                [part.column("id"), part.column("seen"), pa.array(np.diff(found.edges)), pa.array(held(seen_words.astype(np.int64))),
+                 pa.array(held(base)), pa.array(model.scores(found.by_text()) / LN10 + held(tail) - far_out),
+                 pa.ListArray.from_arrays(pa.array(edges), flat)], names=[f.name for f in fields])
 
         for batch in batches:
-            texts, found, others, begin, held = [], [], [], 0, 0
+            texts, begin, held = [], 0, 0
             for i, text in enumerate(batch.column("text")):
-                slot, at, out, classes = words.slots(split_words(text.as_py()))
-                inside = at[at >= 0]
-                found.append((len(slot), int(seen_words[inside].sum()), base[inside].sum(), tail[inside].sum() - far[classes].sum()))
-                texts.append(slot)
-                others.append(out)
-                held += len(slot)
-                if held > CHUNK_TOKENS:
-                    yield result(batch.slice(begin, i + 1 - begin), texts, found, others)
-                    texts, found, others, begin, held = [], [], [], i + 1, 0
+                texts.append(split_words(text.as_py()))
+                held += len(texts[-1]) + 1
+                if held > SCORE_TOKENS:
+                    yield result(batch.slice(begin, i + 1 - begin), texts)
+                    texts, begin, held = [], i + 1, 0
             if texts:
-                yield result(batch.slice(begin), texts, found, others)
+                yield result(batch.slice(begin), texts)
 
     scored = cut_lineage(rows.mapInArrow(work, T.StructType(fields)).withColumn("row", F.monotonically_increasing_id()))
     # words outside the head: their counts are looked up once per text and word

@@ -325,7 +325,7 @@ def test_every_training_document_is_learnt_from(spark):
     seen = [r["text"].encode() for r in docs.where(gru_lm.in_training("doc_id")).collect()]
     assert len(seen) > 30
     for text in seen:
-        inputs = words.slots(gru_lm.split_words(text))[0][:-1]
+        inputs = words.slots([gru_lm.split_words(text)]).slot[:-1]
         assert (before[inputs] != after[inputs]).any(1).all()
 
 
