@@ -31,8 +31,9 @@ SLOTS = 2_048  # of these, words the output layer tells apart
 CLASSES = 48
 HIDDEN = 24
 WINDOW = 24
-TRAIN_TOKENS = 3_000_000  # a task trains on texts of about so many tokens at a time
-SCORE_TOKENS = 1_000_000  # and scores so many
+TRAIN_TOKENS = 2_500_000  # a task trains on texts of about so many tokens at a time
+SCORE_TOKENS = 2_000_000  # and scores so many
+LOOK_UP_TOKENS = 200_000  # words that are held as words at a time
 CLASS_PASS = 16_384  # states that one pass over the classes scores
 SAMPLE_DOCS = 600
 SAMPLE_WORDS = 400_000
@@ -194,27 +195,34 @@ class Gru:
         """The input before the first word."""
         return len(self.w["x"]) - 1
 
-    def states(self, inputs: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
-        """States after each step's input, the word before, for inputs (steps x lanes); where ``fresh``, a text begins anew."""
+    def states(self, inputs: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: dict | None = None) -> np.ndarray:
+        """States after each step's input, the word before, for inputs (steps x lanes); where ``fresh``, a text begins anew.
+
+        With ``keep``, what the way back needs of every step is put there.
+        """
         u, n, given = self.w["u"], HIDDEN, self.w["x"][inputs]
-        out = np.empty((*inputs.shape, n), np.float32)
+        steps, lanes = inputs.shape
+        out, new, gates = (np.empty((steps, lanes, k), u.dtype) for k in (n, n, 2 * n))
+        old, linear = (np.empty_like(out) for _ in range(2)) if keep is not None else (None, None)
         for t, g in enumerate(given):
             if fresh is not None and fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
+                h = np.where(fresh[t][:, None], u.dtype.type(0), h)
             a = h @ u
-            rz = g[:, : 2 * n] + a[:, : 2 * n]
+            rz, candidate = gates[t], new[t]
+            np.add(g[:, : 2 * n], a[:, : 2 * n], out=rz)
             np.exp(np.negative(rz, out=rz), out=rz)
             rz += 1
             np.reciprocal(rz, out=rz)
-            r, z = rz[:, :n], rz[:, n:]
-            new = r * a[:, 2 * n :]
-            new += g[:, 2 * n :]
-            np.tanh(new, out=new)
+            np.multiply(rz[:, :n], a[:, 2 * n :], out=candidate)
+            candidate += g[:, 2 * n :]
+            np.tanh(candidate, out=candidate)
             if keep is not None:
-                keep.append((h, r, z, new, a[:, 2 * n :]))
-            h = np.subtract(h, new, out=out[t])
-            h *= z
-            h += new
+                old[t], linear[t] = h, a[:, 2 * n :]
+            h = np.subtract(h, candidate, out=out[t])
+            h *= rz[:, n:]
+            h += candidate
+        if keep is not None:
+            keep.update(old=old, new=new, reset=gates[..., :n], update=gates[..., n:], linear=linear)
         return out
 
     def log_probs(self, h: np.ndarray, slot: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -284,29 +292,35 @@ class Gru:
     def gradients(self, inputs: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
         """The summed loss's gradients by every weight but the inputs', by each step's input, and the last state."""
         steps, n, u = len(inputs), HIDDEN, self.w["u"]
-        keep: list = []
+        keep: dict = {}
         out = self.states(inputs, h, fresh, keep)
-        mask = target >= 0
         grads = {k: np.zeros_like(a) for k, a in self.w.items() if k != "x"}
-        _, back = self.log_probs(out[mask], target[mask], grads)
-        d = np.zeros_like(out)
-        d[mask] = back
+        mask = target >= 0
+        if mask.all():
+            d = self.log_probs(out.reshape(-1, n), target.ravel(), grads)[1].reshape(out.shape)
+        else:
+            d = np.zeros_like(out)
+            d[mask] = self.log_probs(out[mask], target[mask], grads)[1]
+        # what each step's gradient is multiplied by on its way to the candidate, the update and the reset gate
+        r, z, new = keep["reset"], keep["update"], keep["new"]
+        to_new = (1 - z) * (1 - new * new)
+        to_update = (keep["old"] - new) * z * (1 - z)
+        to_reset = keep["linear"] * r * (1 - r)
+        alive = ~fresh[..., None]
         dh = np.zeros_like(h)
-        dx, da = (np.empty((steps, len(h), 3 * n), np.float32) for _ in range(2))
+        dx, da = (np.empty((steps, len(h), 3 * n), u.dtype) for _ in range(2))
+        back = np.ascontiguousarray(u.T)
         for t in range(steps - 1, -1, -1):
-            old, r, z, new, an = keep[t]
-            dh = dh + d[t]
-            through = dh * z
-            dr, dz, dn = dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :]
-            np.multiply(dh - through, 1 - new * new, out=dn)
-            np.multiply(through * (old - new), 1 - z, out=dz)
-            np.multiply(dn * an, r * (1 - r), out=dr)
+            dh += d[t]
+            dn = np.multiply(dh, to_new[t], out=dx[t, :, 2 * n :])
+            np.multiply(dh, to_update[t], out=dx[t, :, n : 2 * n])
+            np.multiply(dn, to_reset[t], out=dx[t, :, :n])
             da[t, :, : 2 * n] = dx[t, :, : 2 * n]
-            np.multiply(dn, r, out=da[t, :, 2 * n :])
-            dh = through + da[t] @ u.T
-            dh[fresh[t]] = 0
-        before = np.stack([k[0] for k in keep])
-        grads["u"] += before.reshape(-1, n).T @ da.reshape(-1, 3 * n)
+            np.multiply(dn, r[t], out=da[t, :, 2 * n :])
+            dh *= z[t]
+            dh += da[t] @ back
+            dh *= alive[t]
+        grads["u"] += keep["old"].reshape(-1, n).T @ da.reshape(-1, 3 * n)
         return grads, dx, out[-1]
 
     def _window(self, inputs, target, fresh, h, rate):
@@ -441,13 +455,17 @@ def train(docs: DataFrame, words: Vocabulary, id_column: str = "doc_id", text_co
 
         def learn():
             nonlocal weight, seen, held
-            model.train(words.slots(seen).by_text(), rate=0.03)
+            model.train(seen, rate=0.03)
             weight, seen, held = weight + held, [], 0
 
         for batch in batches:
-            for text in batch.column("text"):
-                seen.append(split_words(text.as_py()))
-                held += len(seen[-1]) + 1
+            texts, waiting = [], 0
+            for i, text in enumerate(batch.column("text"), 1):
+                texts.append(split_words(text.as_py()))
+                waiting += len(texts[-1]) + 1
+                if waiting > LOOK_UP_TOKENS or i == len(batch):
+                    seen += [t.astype(np.int32) for t in words.slots(texts).by_text()]
+                    held, texts, waiting = held + waiting, [], 0
                 if held > TRAIN_TOKENS:
                     learn()
         if seen:
@@ -491,32 +509,40 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     def work(batches):
         from collections import Counter
 
-        def result(part, texts):
+        def look_up(texts):
+            """Slots, counts and sums of each text, and its words outside the head."""
             found = words.slots(texts)
             others = [Counter() for _ in texts]
             for word, text in zip(found.out, found.owner.tolist()):
                 others[text][word] += 1
-            edges = np.concatenate([[0], np.cumsum([len(o) for o in others])]).astype(np.int32)
-            flat = pa.StructArray.from_arrays(
-                [pa.array([w for o in others for w in o], pa.binary()), pa.array([n for o in others for n in o.values()], pa.int64())], names=["word", "n"])
             inside = found.at >= 0
             held = lambda values: found.sums(np.where(inside, values[found.at], 0))
-            far_out = np.bincount(found.owner, far[found.classes], len(texts))
+            high = held(tail) - np.bincount(found.owner, far[found.classes], len(texts))
+            slots = [t.astype(np.int32) for t in found.by_text()]
+            return slots, np.diff(found.edges), held(seen_words.astype(np.int64)), held(base), high, others
+
+        def result(part, groups):
+            slots, n, known, low, high, others = zip(*groups)
+            slots, others = [t for g in slots for t in g], [o for g in others for o in g]
+            edges = np.concatenate([[0], np.cumsum([len(o) for o in others])]).astype(np.int32)
+            flat = pa.StructArray.from_arrays(
+                [pa.array([w for o in others for w in o], pa.binary()), pa.array([k for o in others for k in o.values()], pa.int64())], names=["word", "n"])
             return pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("seen"), pa.array(np.diff(found.edges)), pa.array(held(seen_words.astype(np.int64))),
-                 pa.array(held(base)), pa.array(model.scores(found.by_text()) / LN10 + held(tail) - far_out),
-                 pa.ListArray.from_arrays(pa.array(edges), flat)], names=[f.name for f in fields])
+                [part.column("id"), part.column("seen"), pa.array(np.concatenate(n)), pa.array(np.concatenate(known)), pa.array(np.concatenate(low)),
+                 pa.array(model.scores(slots) / LN10 + np.concatenate(high)), pa.ListArray.from_arrays(pa.array(edges), flat)],
+                names=[f.name for f in fields])
 
         for batch in batches:
-            texts, begin, held = [], 0, 0
-            for i, text in enumerate(batch.column("text")):
+            texts, waiting, groups, begin, held = [], 0, [], 0, 0
+            for i, text in enumerate(batch.column("text"), 1):
                 texts.append(split_words(text.as_py()))
-                held += len(texts[-1]) + 1
-                if held > SCORE_TOKENS:
-                    yield result(batch.slice(begin, i + 1 - begin), texts)
-                    texts, begin, held = [], i + 1, 0
-            if texts:
-                yield result(batch.slice(begin), texts)
+                waiting += len(texts[-1]) + 1
+                if waiting > LOOK_UP_TOKENS or i == len(batch):
+                    groups.append(look_up(texts))
+                    texts, waiting, held = [], 0, held + waiting
+                    if held > SCORE_TOKENS or i == len(batch):
+                        yield result(batch.slice(begin, i - begin), groups)
+                        groups, begin, held = [], i, 0
 
     scored = cut_lineage(rows.mapInArrow(work, T.StructType(fields)).withColumn("row", F.monotonically_increasing_id()))
     # words outside the head: their counts are looked up once per text and word
