@@ -23,7 +23,6 @@ MANIFEST_COLUMNS = (
 
 # fixed values: artefacts the faults leave behind
 CURRENCY_PREFIXES = ("$", "USD ", "€", "R$", "")
-ACCENTED = "éáñüöçíóúã"
 ZOMBIE_NAMES = (
     "TEST USER", "test test", "ASDF ASDF", "John Doe", "Jane Smith", "QA Test", "DELETE ME", "xxxxx",
     "Sample Customer", "Fake Person", "DO NOT USE",
@@ -128,20 +127,13 @@ def inject_type_drift(
     return dirty.drop(*[f"_num_{c}" for c in cols]), log
 
 
-def garble(text: Column, letters: str = ACCENTED) -> Column:
-    """UTF-8 bytes of accented letters read as Latin-1."""
-    for letter in letters:
-        text = F.replace(text, F.lit(letter), F.lit(letter.encode("utf-8").decode("latin-1")))
-    return text
+def garble(text: Column) -> Column:
+    """UTF-8 bytes read as Latin-1."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def inject_mojibake(
-    df: DataFrame, rate: float, key: str, cols: Sequence[str], salt: str, letters: str = ACCENTED
-) -> Faulty:
-    changes = {
-        c: (hit(f"{salt}-{c}", key, rate) & (garble(F.col(c), letters) != F.col(c)), garble(F.col(c), letters))
-        for c in cols
-    }
+def inject_mojibake(df: DataFrame, rate: float, key: str, cols: Sequence[str], salt: str) -> Faulty:
+    changes = {c: (hit(f"{salt}-{c}", key, rate) & (garble(F.col(c)) != F.col(c)), garble(F.col(c))) for c in cols}
     return _replace_cells(df, key, "encoding", changes)
 
 

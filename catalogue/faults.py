@@ -11,6 +11,8 @@ from stallkeeper.operators.dedupe import near_duplicates
 from stallkeeper.plans import silver as s
 
 COUNTS: list[str] = []
+# every letter of the tables' texts that takes more than a byte
+LETTERS = sorted({c for text in (*tb.FIRST_NAMES, *tb.LAST_NAMES, *tb.TITLES, tb.OPINION) for c in text if ord(c) > 127})
 PLAN = f.FaultPlan()
 
 
@@ -66,7 +68,7 @@ class Chain:
 
     def encoding(self, rate: float, key: str, columns: list[str], salt: str) -> "Chain":
         def broken(c: str) -> str:
-            for letter in f.ACCENTED:
+            for letter in LETTERS:
                 c = f"replace({c}, '{letter}', '{letter.encode('utf-8').decode('latin-1')}')"
             return c
         self.replace("encoding", {

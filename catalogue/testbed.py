@@ -21,6 +21,8 @@ SCORE = dt.date(2001, 6, 30)
 CHANNELS = ["organic", "paid_search", "social", "referral", "email"]
 FIRST_NAMES = ["José", "María", "João", "Ana", "Zoë", "Günter", "Noémie", "Peter"]
 LAST_NAMES = ["García", "Núñez", "Souza", "Öz", "Smith", "Gonçalves", "Brown"]
+TITLES = ["Très bien", "Muy fácil", "Good", "Não é bom"]
+OPINION = "Opinião "
 TIERS = ["new", "bronze", "silver", "gold", "platinum"]
 RATES = [0.165, 0.14, 0.12, 0.10, 0.08]
 CATEGORIES = ["electronics", "home", "fashion", "beauty", "sports", "toys"]
@@ -317,8 +319,8 @@ class Testbed:
             "customer_id",
             "concat('S', l_suppkey) as seller_id",
             "cast(1 + (l_orderkey + l_linenumber + l_partkey) % 5 as int) as rating",
-            f"{pick(['Très bien', 'Muy fácil', 'Good', 'Não é bom'], 'l_partkey')} as title",
-            "concat('Opinião ', l_orderkey) as review_text",
+            f"{pick(TITLES, 'l_partkey')} as title",
+            f"concat('{OPINION}', l_orderkey) as review_text",
             "l_partkey % 4 <> 0 as is_verified_purchase",
             "l_partkey % 9 as helpful_votes",
             "l_partkey % 9 + 3 as total_votes",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# fixed values: feature names in model order
+# fixed values: names of features in model order, of snapshot columns and of models
 NUMERIC_FEATURES = (
     "days_since_last_order", "days_since_first_order", "total_orders", "orders_last_30d", "orders_last_90d",
     "avg_days_between_orders", "lifetime_spend", "avg_order_value", "spend_last_90d", "spend_trend", "category_count",
@@ -14,7 +14,6 @@ CHANNEL_FEATURES = ("signup_channel",)
 BEHAVIORAL_FEATURES = NUMERIC_FEATURES + BINARY_FEATURES
 
 ID, SNAPSHOT, LABEL, WINDOW_ORDERS = "customer_id", "snapshot_date", "churned", "orders_in_prediction_window"
-FORBIDDEN_FEATURES = (ID, SNAPSHOT, LABEL, "segment", "signup_date", WINDOW_ORDERS)
 
 SNAPSHOT_COLUMNS = (
     ID, SNAPSHOT, "signup_channel", "segment", "region", "signup_date", "customer_tenure_days",
@@ -25,6 +24,9 @@ SNAPSHOT_COLUMNS = (
     "has_completed_delivery", "is_single_order_customer", WINDOW_ORDERS, LABEL,
 )
 
+#: what identifies a row, knows its future, or decides the label by construction: all columns that are no feature, but for region
+FORBIDDEN_FEATURES = tuple(c for c in SNAPSHOT_COLUMNS if c not in (*NUMERIC_FEATURES, *BINARY_FEATURES, *CHANNEL_FEATURES, "region"))
+
 CHURN_WINDOW_DAYS = 90
 MODEL_NAMES = {"behavioral": "behavioral_only", "channel": "behavioral_plus_channel"}
 MODEL_VERSION = "churn_v1"
