@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 
 TOKENIZER = "byte_bpe_50k"
@@ -24,7 +25,8 @@ class ByteBpe:
         with open(self.file.removesuffix("json") + "tiktoken", "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        with open(self.file, encoding="utf-8") as file:  # the tokenizer itself, which is large, is built only if a text needs it
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
 
     @functools.cached_property
     def whole(self):
