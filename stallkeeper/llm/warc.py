@@ -1,9 +1,10 @@
 """WARC archives compressed record by record with a shared Zstandard dictionary.
 
 The dictionary is trained on a bounded sample of the records and stands in a skippable frame at the head of every
-archive; each record is a frame of its own. Spark's text writer puts the frames on any file system and commits them
-whole, so a lost executor's archive is simply written again: the line separator it wants is an empty skippable frame,
-which readers pass over. A row limit per file, with the dictionary frame at each start, bounds the size of an archive.
+archive; each record is a frame of its own. A task closes an archive before the record that would take it past a number
+of bytes or of records, so an archive is at most that large, or one record with the dictionary if that alone is larger. Spark's text
+writer puts every archive in a file of its own on any file system and commits it whole, so a lost executor's archives are
+simply written again: the line separator it wants is an empty skippable frame, which readers pass over.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from stallkeeper.session import cut_lineage
 DICTIONARY_MAGIC = 0x184D2A5D
 EMPTY_FRAME = "P*M\x18\0\0\0\0"  # skippable frame 0x184D2A50 of length 0
 REVISIT_BYTES = 1000
-ARCHIVE_RECORDS = 4096
+ARCHIVE_BYTES = 32 << 20  # of compressed frames; an archive is one row where it is written and read
+ARCHIVE_RECORDS = 65_536
 SAMPLE_RECORDS = 512
 SAMPLE_BYTES = 8192
 DICTIONARY_BYTES = 112_640
@@ -61,13 +63,14 @@ def train_dictionary(pages: DataFrame, id_column: str, html_column: str) -> byte
 
 def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url",
                    html_column: str = "html", revisit_bytes: int = REVISIT_BYTES, level: int = LEVEL,
-                   archive_records: int = ARCHIVE_RECORDS, date: str = DATE) -> None:
+                   archive_bytes: int = ARCHIVE_BYTES, archive_records: int = ARCHIVE_RECORDS, date: str = DATE) -> None:
     """Write one record per row to the archives of a new folder.
 
     Of rows with equal payloads of revisit_bytes or more, the one with the largest id is the response and the others
     revisit it; all shorter payloads are responses. Payloads count as equal if SHA-256 and length agree. A null html is
     the empty payload. Rows that repeat id and payload are written as often as they occur, as responses. A row without id
-    revisits a row with id that has its payload, and is a response if there is none.
+    revisits a row with id that has its payload, and is a response if there is none. An empty table gives a folder without
+    records; a very long html is one record, in an archive of its own if it is past archive_bytes; other columns are not read.
     """
     trained = train_dictionary(pages, id_column, html_column)
     payload = F.encode(F.coalesce(F.col(html_column), F.lit("")), "UTF-8")
@@ -85,22 +88,29 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_
     def frames(batches):
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
         head = struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained
-        at = 0
+        held, size = [head], len(head)
+
+        def archive():
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
+
+        def name(number):
+            return "" if number is None else str(number)
+
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if at % archive_records == 0:
-                    out.append(head)
-                    at += 1
-                name = lambda x: "" if x is None else str(x)
-                out.append(packer.compress(_record(
-                    name(row["page"]), row["url"], row["payload"] or b"", row["size"], row["digest"],
-                    None if row["refers"] is None else name(row["refers"]), date)))
-                at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-
-    ready.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option(
-        "lineSep", EMPTY_FRAME).option("maxRecordsPerFile", archive_records).option("compression", "none").text(path)
+            for row in zip(*(batch.column(c) for c in ("page", "url", "payload", "size", "digest", "refers"))):
+                page, url, body, length, digest, refers = (x.as_py() for x in row)
+                frame = packer.compress(_record(name(page), url, body or b"", length, digest, None if refers is None else name(refers), date))
+                full = size + len(frame) + len(EMPTY_FRAME) > archive_bytes or len(held) > archive_records
+                if full and len(held) > 1:
+                    yield archive()
+                    held, size = [head], len(head)
+                held.append(frame)
+                size += len(frame)
+        if len(held) > 1:
+            yield archive()
+
+    ready.mapInArrow(frames, "archive binary").select(F.col("archive").cast("string").alias("value")).write.option(
+        "lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 def read_records(content: bytes):

@@ -363,3 +363,21 @@ def test_warc_round_trip(spark, tmp_path):
     none = f"file://{tmp_path}/none"
     warc.write_archives(pages.limit(0), none)
     assert warc.read_archives(spark, none).count() == 0
+
+
+def test_warc_archives_are_bounded_in_bytes(spark, tmp_path):
+    import random
+
+    ship_package(spark)
+    rng = random.Random(3)
+    pages = [(i, f"http://h/{i}", "".join(chr(rng.randrange(33, 0x2FF)) for _ in range(800)), "k", 1, "r") for i in range(300)]
+    pages += [pages[5]] * 3 + [(1000, None, "y" * 999, "k", 2, "r"), (1001, "", "y" * 999, None, 3, None)]
+    pages.append((2000, "http://long", "".join(chr(rng.randrange(33, 0x2FF)) for _ in range(700_000)), "k", 4, "r"))
+    table = spark.createDataFrame(pages, "page_id long, url string, html string, key string, size long, response string").repartition(3)
+    path, limit = tmp_path / "archives", 150_000
+    warc.write_archives(table, f"file://{path}", archive_bytes=limit)
+    sizes = sorted(f.stat().st_size for f in path.glob("part-*"))
+    records = [sum(1 for _ in warc.read_records(f.read_bytes())) for f in path.glob("part-*") if f.stat().st_size > limit]
+    assert len(sizes) > 4 and sizes[-2] <= limit < sizes[-1] and records == [1]
+    got = [(r["page"], bytes(r["payload"]).decode()) for r in warc.read_archives(spark, f"file://{path}").where("record_type = 'response'").collect()]
+    assert sorted(got) == sorted((p[0], p[2]) for p in pages)
