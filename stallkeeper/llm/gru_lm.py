@@ -171,6 +171,40 @@ class Lanes:
         return sums[first + self.sizes, lane] - sums[first, lane]
 
 
+def log_shares(rows: np.ndarray, weights: np.ndarray, picked: np.ndarray, blocks: list[tuple[int, int, int, int]], shift: bool,
+               slope: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log of each row's share of its picked weight among those of its block, by the exponentials of their products.
+
+    A block is a range of rows and of weights. All blocks' products lie in one array, so that only the products are made
+    block by block. With ``slope``, the gradients of the negative sum are added to it, and those of the
+    rows are returned.
+    """
+    widths = np.repeat([high - low for _, _, low, high in blocks], [b - a for a, b, _, _ in blocks])
+    lows = np.repeat([low for _, _, low, _ in blocks], [b - a for a, b, _, _ in blocks])
+    first = np.cumsum(widths) - widths
+    flat, parts, at = np.empty(int(widths.sum()), rows.dtype), [], 0
+    for a, b, low, high in blocks:
+        size = (b - a) * (high - low)
+        parts.append(np.matmul(rows[a:b], weights[low:high].T, out=flat[at : at + size].reshape(b - a, high - low)))
+        at += size
+    if shift:
+        flat -= np.repeat(np.maximum.reduceat(flat, first), widths)
+    mine = first + picked - lows
+    logs = flat[mine]
+    np.exp(flat, out=flat)
+    total = np.add.reduceat(flat, first)
+    logs -= np.log(total)
+    if slope is None:
+        return logs, None
+    flat[mine] -= total
+    scaled, back = rows / total[:, None], np.empty_like(rows)
+    for (a, b, low, high), part in zip(blocks, parts):
+        slope[low:high] += part.T @ scaled[a:b]
+        np.matmul(part, weights[low:high], out=back[a:b])
+    back /= total[:, None]
+    return logs, back
+
+
 class Gru:
     """Weights and the passes over windows of lanes."""
 
@@ -242,44 +276,20 @@ class Gru:
         # states lie within -1 and 1, so most weights cannot overflow an exponential and need no shift by the maximum
         bound = max(float(np.abs(w[b]).max() + np.abs(w[a]).sum(0).max()) for a, b in (("c", "bc"), ("s", "bs")))
         shift = bound > 80 or bool(np.abs(h).max(initial=0) > 1)
-        ones = np.ones(max(CLASSES, int(np.diff(self.start).max())), h.dtype)
-        rows = np.arange(len(h))
-        c = h @ w["c"]
-        c += w["bc"]
-        if shift:
-            c -= c.max(1, keepdims=True)
-        mine = c[rows, cls]
-        e = np.exp(c, out=c)
-        total = e @ ones[:CLASSES]
-        logs = mine - np.log(total)
-        back = None
-        if grads is not None:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            grads["c"] += h.T @ e
-            grads["bc"] += e.sum(0)
-            back = e @ w["c"].T
-        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            a, b = edges[k], edges[k + 1]
-            if a == b:
-                continue
-            low, high = self.start[k], self.start[k + 1]
-            s = h[a:b] @ w["s"][:, low:high]
-            s += w["bs"][low:high]
-            if shift:
-                s -= s.max(1, keepdims=True)
-            i, at = rows[: b - a], slot[a:b] - low
-            mine = s[i, at]
-            e = np.exp(s, out=s)
-            total = e @ ones[: high - low]
-            logs[a:b] += mine - np.log(total)
+        one = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)  # the biases' factor
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        start = self.start.tolist()
+        inside = [(edges[k], edges[k + 1], start[k], start[k + 1]) for k in range(CLASSES) if edges[k] < edges[k + 1]]
+        logs, back = 0, None if grads is None else np.zeros_like(h)
+        for weight, bias, picked, blocks in (("c", "bc", cls, [(0, len(h), 0, CLASSES)]), ("s", "bs", slot, inside)):
+            both = np.ascontiguousarray(np.vstack([w[weight], w[bias]]).T)
+            slope = None if grads is None else np.zeros_like(both)
+            more, by_state = log_shares(one, both, picked, blocks, shift, slope)
+            logs = logs + more
             if grads is not None:
-                e /= total[:, None]
-                e[i, at] -= 1
-                grads["s"][:, low:high] += h[a:b].T @ e
-                grads["bs"][low:high] += e.sum(0)
-                back[a:b] += e @ w["s"][:, low:high].T
+                grads[weight] += slope[:, :-1].T
+                grads[bias] += slope[:, -1]
+                back += by_state[:, :-1]
         return logs, back
 
     def train(self, texts: list[np.ndarray], width: int = 256, rate: float = 0.08) -> None:
