@@ -192,6 +192,55 @@ def test_references_and_repeats_of_a_table_in_one_shuffle(spark):
     assert {r["violations"] for r in nothing.collect()} == {0}
 
 
+def drawn_market(spark, folder):
+    """Driver tables of a few rows: orders without items, items without an order, repeated order keys, unknown customers."""
+    from catalogue.registry import Market
+
+    rows = {
+        "region": ("1", "cast(id as int) as r_regionkey, 'ASIA' as r_name"),
+        "nation": ("2", "cast(id as int) as n_nationkey, concat('N', id) as n_name, 0 as n_regionkey"),
+        "customer": ("8", "id as c_custkey, concat('Customer#', id) as c_name, cast(id % 2 as int) as c_nationkey, 'FURNITURE' as c_mktsegment"),
+        "supplier": ("12", "id as s_suppkey, concat('Supplier#', id) as s_name, 0 as s_nationkey"),
+        "part": ("15", "id as p_partkey, concat('part ', id) as p_name, 'b' as p_brand, 't' as p_type, 5 as p_size, 900D + id as p_retailprice"),
+        "orders": ("40", "id % 38 as o_orderkey, id % 11 as o_custkey, 100D + id as o_totalprice, '2-HIGH' as o_orderpriority, "
+                         "timestamp_ntz '2001-03-01 00:00:00' + make_dt_interval(cast(id * 4 as int)) as o_orderdate"),
+        "lineitem": ("120", "(id * 7) % 45 as l_orderkey, id % 15 as l_partkey, id % 13 as l_suppkey, cast(id as int) as l_linenumber, "
+                            "cast(id % 5 + 1 as double) as l_quantity, 90D + id as l_extendedprice, 0.05D as l_discount, 0.02D as l_tax, "
+                            "'R' as l_returnflag"),
+    }
+    for name, (count, columns) in rows.items():
+        spark.sql(f"SELECT {columns} FROM range({count})").write.parquet(f"{folder}/{name}.parquet")
+    return Market(spark, folder)
+
+
+def test_gold_moves_lines_once_and_stores_nothing(spark, tmp_path):
+    m = drawn_market(spark, f"{tmp_path}/t")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        narrow = m.gold.fact_order_items.select("order_id", "seller_id", "order_date")
+        plan = narrow._jdf.queryExecution().executedPlan().toString()
+        # lines, the dates that name their sellers, and their orders: one exchange each, all by order
+        assert plan.count("Exchange hashpartitioning") == 3 and "hashpartitioning(l_orderkey" not in plan
+        assert m.gold.fact_order_items.count() == narrow.count() > 120
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert m.gold.mart_seller_health.count() == 12
+    assert not spark.catalog.tableExists(f"{m._name('gold')}_fact_orders")
+
+
+def test_stored_items_carry_no_names(spark, tmp_path):
+    m = drawn_market(spark, f"{tmp_path}/t")
+    stored = m.gold.with_bucketed_facts("named", f"{tmp_path}/facts")
+    assert not {"product_name", "seller_tier"} & set(spark.table("named_fact_order_items").columns)
+    plain = m.gold.fact_order_items
+    assert stored.fact_order_items.columns == plain.columns
+    assert stored.fact_order_items.exceptAll(plain).count() == plain.exceptAll(stored.fact_order_items).count() == 0
+    assert plain.where("product_name IS NOT NULL AND seller_tier IS NOT NULL").count() > 0
+    for table in ("named_fact_orders", "named_fact_order_items"):
+        spark.sql(f"DROP TABLE {table}")
+
+
 def test_bucketed_facts_join_without_an_exchange(spark, tmp_path):
     from stallkeeper.sources.buckets import bucket_count, write_bucketed
 
