@@ -229,6 +229,18 @@ def test_gold_moves_lines_once_and_stores_nothing(spark, tmp_path):
     assert not spark.catalog.tableExists(f"{m._name('gold')}_fact_orders")
 
 
+def test_filtered_reviews_are_not_stored_again(spark, tmp_path, monkeypatch):
+    from catalogue import registry
+
+    freed = []
+    monkeypatch.setattr(registry, "free_shuffles", freed.append)
+    m = drawn_market(spark, f"{tmp_path}/t")
+    kept = m.silver_stored["reviews"]
+    assert [p.rsplit("/", 2)[-2].rsplit("-", 1)[-1].rsplit("_", 1)[0] for p in kept.inputFiles()[:1]] == ["raw_reviews"]
+    assert freed == [spark]  # after the raw table; the filter stores nothing
+    assert kept.exceptAll(m.silver["reviews"]).count() == 0 < kept.count() <= m.arrived["reviews"].count()
+
+
 def test_stored_items_carry_no_names(spark, tmp_path):
     m = drawn_market(spark, f"{tmp_path}/t")
     stored = m.gold.with_bucketed_facts("named", f"{tmp_path}/facts")
