@@ -72,6 +72,24 @@ def test_one_pass_equals_its_parts(spark, seed):
     assert tuple(built.columns) == SNAPSHOT_COLUMNS and built.where("return_item_rate > 1 OR return_count IS NULL").count() == 0
 
 
+def test_returns_travel_by_number(spark):
+    gold = drawn_gold(spark, 5)
+    returned = ft.customer_units(gold).where("kind = 'return'")
+    assert returned.where("sub IS NOT NULL").count() > 5 < gold.returns.where("return_id LIKE 'r%'").count()
+    assert returned.where("NOT sub RLIKE '^[0-9]+$'").count() == 0
+
+
+def test_units_serve_every_snapshot(spark, tmp_path):
+    gold = drawn_gold(spark, 6)
+    ft.customer_units(gold).write.parquet(f"{tmp_path}/units")
+    units = spark.read.parquet(f"{tmp_path}/units")
+    for dates in (DATES, DATES[-1:]):
+        found, want = ft.build_snapshots(gold, dates, units=units), ft.build_snapshots(gold, dates)
+        assert found.exceptAll(want).count() == want.exceptAll(found).count() == 0 < want.count()
+    # only the customers are read beside them
+    assert ft.scoring_snapshot(gold, DATES[-1], units)._jdf.queryExecution().executedPlan().toString().count("Scan") == 2
+
+
 def test_each_source_is_read_once(spark, tmp_path):
     gold = drawn_gold(spark, 4)
     for name, frame in list(vars(gold).items()):

@@ -229,6 +229,35 @@ def test_gold_moves_lines_once_and_stores_nothing(spark, tmp_path):
     assert not spark.catalog.tableExists(f"{m._name('gold')}_fact_orders")
 
 
+def test_lines_move_narrow(spark, tmp_path):
+    m = drawn_market(spark, f"{tmp_path}/t")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def below(df, exchange):
+            return df._jdf.queryExecution().executedPlan().toString().partition(f"Exchange hashpartitioning({exchange}")
+
+        items = below(m.gold.fact_order_items.select("net_gmv_cents", "customer_id"), "order_id")
+        assert "AS unit_price_cents" in items[2] and "AS unit_price_cents" not in items[0]
+        orders = below(m.gold.fact_orders.select("total_amount_cents", "customer_segment"), "customer_id")
+        assert "AS total_amount_cents" in orders[2] and "AS total_amount_cents" not in orders[0]
+        returns = below(m.clean["returns"].select("return_id", "order_id"), "l_orderkey")
+        assert "md5(" in returns[0] and "md5(" not in returns[2]
+        reviews = below(m.clean["reviews"].select("rating", "customer_id"), "l_orderkey")
+        assert "AS rating" in reviews[2] and "AS rating" not in reviews[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_model_queries_share_stored_units(spark, tmp_path):
+    from stallkeeper.churn import features as ft
+
+    m = drawn_market(spark, f"{tmp_path}/t")
+    assert m.customer_units.inputFiles()
+    units = ft.customer_units(m.gold)
+    assert m.customer_units.exceptAll(units).count() == units.exceptAll(m.customer_units).count() == 0 < units.count()
+
+
 def test_filtered_reviews_are_not_stored_again(spark, tmp_path, monkeypatch):
     from catalogue import registry
 
