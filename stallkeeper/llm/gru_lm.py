@@ -8,6 +8,7 @@ training (truncated backpropagation) and in scoring. Before training the model e
 
 Word counts cover all training documents. Weights are warmed up on a bounded sample of them and then trained further in
 every partition on all of its training documents (one in ``share``) and averaged, so training grows with the corpus.
+Words are looked up once: training and scoring read the stored slots of each text.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stallkeeper.llm.texts import id_key, text_of
+from stallkeeper.llm.texts import text_of
 from stallkeeper.session import cut_lineage, free_shuffles
 
 HEAD_SHARE = 2**18  # a word is in the head, whose counts every task holds, if it is one in so many tokens or more
@@ -35,9 +36,11 @@ TRAIN_TOKENS = 2_500_000  # a task trains on texts of about so many tokens at a
 SCORE_TOKENS = 2_000_000  # and scores so many
 LOOK_UP_TOKENS = 200_000  # words that are held as words at a time
 CLASS_PASS = 16_384  # states that one pass over the classes scores
+KEPT_BYTES = 2**24  # more than half of what the arrays of a window take
 SAMPLE_DOCS = 600
 SAMPLE_WORDS = 400_000
 SHARE = 1  # one in so many training documents is trained on in its partition: all of them
+SMALL = np.min_scalar_type(SLOTS + CLASSES)  # holds the number of every slot
 END = b""  # no word is empty, so this stands for the end of a text
 LN10 = float(np.log(10))
 
@@ -47,6 +50,16 @@ def split_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def keep_freed_memory() -> None:
+    """Let the C library keep the memory of a window's arrays for the next window's.
+
+    It otherwise gives that back to the system and gets it anew, page by page, in every window, which takes a third of the
+    time. After a block has been freed glibc keeps up to twice the size of that block; this one is never written to, so
+    it takes no memory itself. Elsewhere it does nothing.
+    """
+    np.empty(KEPT_BYTES, np.uint8)
+
+
 def word_class(word: bytes) -> int:
     return zlib.crc32(word[:3]) % CLASSES
 
@@ -86,7 +99,10 @@ class Vocabulary:
 
     def slots(self, texts: list[list[bytes]]) -> Slots:
         """Of all words and ends of the texts, in a row."""
-        flat = [w for text in texts for w in (*text, END)]
+        flat = []
+        for text in texts:
+            flat += text
+            flat.append(END)
         edges = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
         at = np.fromiter(map(self.head.get, flat, repeat(-1)), np.int64, len(flat))
         slot = np.empty(len(at), np.int64)
@@ -234,29 +250,36 @@ class Gru:
 
         With ``keep``, what the way back needs of every step is put there.
         """
-        u, n, given = self.w["u"], HIDDEN, self.w["x"][inputs]
+        u, n, x = self.w["u"], HIDDEN, self.w["x"]
         steps, lanes = inputs.shape
-        out, new, gates = (np.empty((steps, lanes, k), u.dtype) for k in (n, n, 2 * n))
+        # reset gate, update gate and candidate lie apart, so that every step works on whole arrays
+        given = np.empty((3, steps, lanes, n), u.dtype)
+        for k, part in enumerate(given):
+            np.take(np.ascontiguousarray(x[:, k * n : k * n + n]), inputs, axis=0, out=part, mode="clip")
+        out, new, gates = (np.empty((*more, steps, lanes, n), u.dtype) for more in ((), (), (2,)))
         old, linear = (np.empty_like(out) for _ in range(2)) if keep is not None else (None, None)
-        for t, g in enumerate(given):
-            if fresh is not None and fresh[t].any():
+        begins = [False] * steps if fresh is None else fresh.any(1).tolist()
+        product = np.empty((lanes, 3 * n), u.dtype)
+        a = product.reshape(lanes, 3, n).transpose(1, 0, 2)
+        for t in range(steps):
+            if begins[t]:
                 h = np.where(fresh[t][:, None], u.dtype.type(0), h)
-            a = h @ u
-            rz, candidate = gates[t], new[t]
-            np.add(g[:, : 2 * n], a[:, : 2 * n], out=rz)
+            np.matmul(h, u, out=product)
+            rz, candidate = gates[:, t], new[t]
+            np.add(given[:2, t], a[:2], out=rz)
             np.exp(np.negative(rz, out=rz), out=rz)
             rz += 1
             np.reciprocal(rz, out=rz)
-            np.multiply(rz[:, :n], a[:, 2 * n :], out=candidate)
-            candidate += g[:, 2 * n :]
+            np.multiply(rz[0], a[2], out=candidate)
+            candidate += given[2, t]
             np.tanh(candidate, out=candidate)
             if keep is not None:
-                old[t], linear[t] = h, a[:, 2 * n :]
+                old[t], linear[t] = h, a[2]
             h = np.subtract(h, candidate, out=out[t])
-            h *= rz[:, n:]
+            h *= rz[1]
             h += candidate
         if keep is not None:
-            keep.update(old=old, new=new, reset=gates[..., :n], update=gates[..., n:], linear=linear)
+            keep.update(old=old, new=new, reset=gates[0], update=gates[1], linear=linear)
         return out
 
     def log_probs(self, h: np.ndarray, slot: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -294,13 +317,17 @@ class Gru:
 
     def train(self, texts: list[np.ndarray], width: int = 256, rate: float = 0.08) -> None:
         """One pass of truncated backpropagation through ``width`` lanes of texts, the state carried between windows."""
+        keep_freed_memory()
         lay = Lanes(texts, width, self.first)
         h = np.zeros((lay.number, HIDDEN), np.float32)
         for at, end, live in lay.windows():
             h = self._window(lay.seen[at:end, :live], lay.target[at:end, :live], lay.fresh[at:end, :live], h[:live], rate)
 
     def gradients(self, inputs: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
-        """The summed loss's gradients by every weight but the inputs', by each step's input, and the last state."""
+        """The summed loss's gradients by every weight but the inputs', by each step's input, and the last state.
+
+        Those by the inputs are steps x lanes x 3 x HIDDEN: of the reset gate, the update gate and the candidate.
+        """
         steps, n, u = len(inputs), HIDDEN, self.w["u"]
         keep: dict = {}
         out = self.states(inputs, h, fresh, keep)
@@ -316,32 +343,34 @@ class Gru:
         to_new = (1 - z) * (1 - new * new)
         to_update = (keep["old"] - new) * z * (1 - z)
         to_reset = keep["linear"] * r * (1 - r)
-        alive = ~fresh[..., None]
+        begins = fresh.any(1).tolist()
         dh = np.zeros_like(h)
-        dx, da = (np.empty((steps, len(h), 3 * n), u.dtype) for _ in range(2))
+        # by the reset gate, the update gate and the candidate; and by what the last state brings to each of them
+        parts, da = np.empty((3, steps, len(h), n), u.dtype), np.empty((steps, len(h), 3, n), u.dtype)
         back = np.ascontiguousarray(u.T)
         for t in range(steps - 1, -1, -1):
             dh += d[t]
-            dn = np.multiply(dh, to_new[t], out=dx[t, :, 2 * n :])
-            np.multiply(dh, to_update[t], out=dx[t, :, n : 2 * n])
-            np.multiply(dn, to_reset[t], out=dx[t, :, :n])
-            da[t, :, : 2 * n] = dx[t, :, : 2 * n]
-            np.multiply(dn, r[t], out=da[t, :, 2 * n :])
+            dn = np.multiply(dh, to_new[t], out=parts[2, t])
+            da[t, :, 1] = np.multiply(dh, to_update[t], out=parts[1, t])
+            da[t, :, 0] = np.multiply(dn, to_reset[t], out=parts[0, t])
+            np.multiply(dn, r[t], out=da[t, :, 2])
             dh *= z[t]
-            dh += da[t] @ back
-            dh *= alive[t]
+            dh += da[t].reshape(-1, 3 * n) @ back
+            if begins[t]:
+                dh[fresh[t]] = 0
         grads["u"] += keep["old"].reshape(-1, n).T @ da.reshape(-1, 3 * n)
-        return grads, dx, out[-1]
+        return grads, parts.transpose(1, 2, 0, 3), out[-1]
 
     def _window(self, inputs, target, fresh, h, rate):
         grads, dx, last = self.gradients(inputs, target, fresh, h)
         which = inputs.ravel()
-        order = np.argsort(which, kind="stable")
+        order = np.argsort(which.astype(SMALL), kind="stable")  # small numbers are sorted by their digits
         rows, first = np.unique(which[order], return_index=True)
         count = max(1, int((target >= 0).sum()))
         for k in grads:
             self._step(self.w[k], self.square[k], grads[k] / count, rate, slice(None))
-        slope = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first) / count
+        by_input = (np.take(dx[:, :, k].reshape(-1, HIDDEN), order, axis=0) for k in range(3))
+        slope = np.concatenate([np.add.reduceat(np.ascontiguousarray(a.T), first, axis=1) for a in by_input]).T / count
         self._step(self.w["x"], self.square["x"], slope, rate, rows)
         return last
 
@@ -354,6 +383,7 @@ class Gru:
 
     def scores(self, texts: list[np.ndarray], width: int = 512) -> np.ndarray:
         """Natural log probability of the slots of each whole text."""
+        keep_freed_memory()
         lay = Lanes(texts, width, self.first)
         logs = np.zeros(lay.target.shape)
         h, held, places, waiting = np.zeros((lay.number, HIDDEN), np.float32), [], [], 0
@@ -434,22 +464,75 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
                       np.array([n for _, n in head], np.float64), np.maximum(mass, 0.5))
 
 
+def look_up(docs: DataFrame, words: Vocabulary, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Of each row, its text as slots and what the counts say of it; store it, so that no text is split and looked up again.
+
+    ``id, seen`` (a training document), ``mark`` and ``deal`` (hashes of id and text, and of the text), ``n_tokens``;
+    ``n_known``, ``base`` and ``high`` (log10 shares of words without a slot of their own in their class's tail), all three
+    of words in the head only; ``other`` (words outside the head and how often they occur) and ``slots`` (int32).
+    """
+    rows = _rows(docs, id_column, text_column).select(
+        "id", "seen", F.xxhash64("id", "text").alias("mark"), F.xxhash64("text").alias("deal"), "text")
+    scale = words.tokens + 0.5 * (words.types + 1)
+    base = np.log10((words.counts + 0.5) / scale)
+    tail = np.log10((words.counts + 0.5) / words.mass[words.head_class])
+    tail[:SLOTS] = 0
+    far, seen_words = np.log10(words.mass), words.counts > 0
+    long, real = T.LongType(), T.DoubleType()
+    other = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", long)]))
+    fields = [*(rows.schema[c] for c in ("id", "seen", "mark", "deal")), *(T.StructField(c, long) for c in ("n_tokens", "n_known")),
+              *(T.StructField(c, real) for c in ("base", "high")), T.StructField("other", other), T.StructField("slots", T.BinaryType())]
+
+    def result(part, texts):
+        from collections import Counter
+
+        found = words.slots(texts)
+        edges = np.searchsorted(found.owner, np.arange(len(texts) + 1)).tolist()
+        others = [Counter(found.out[a:b]) for a, b in zip(edges, edges[1:])]
+        inside = found.at >= 0
+        held = lambda values: found.sums(np.where(inside, values[found.at], 0))
+        high = held(tail) - np.bincount(found.owner, far[found.classes], len(texts))
+        flat = pa.StructArray.from_arrays(
+            [pa.array([w for o in others for w in o], pa.binary()), pa.array([k for o in others for k in o.values()], pa.int64())], names=["word", "n"])
+        places = pa.array(np.concatenate([[0], np.cumsum([len(o) for o in others])]).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [*(part.column(c) for c in ("id", "seen", "mark", "deal")), pa.array(np.diff(found.edges)), pa.array(held(seen_words.astype(np.int64))),
+             pa.array(held(base)), pa.array(high), pa.ListArray.from_arrays(places, flat),
+             pa.array([t.astype(np.int32).tobytes() for t in found.by_text()], pa.binary())], names=[f.name for f in fields])
+
+    def work(batches):
+        keep_freed_memory()
+        for batch in batches:
+            texts, waiting, begin = [], 0, 0
+            for i, text in enumerate(batch.column("text"), 1):
+                texts.append(split_words(text.as_py()))
+                waiting += len(texts[-1]) + 1
+                if waiting > LOOK_UP_TOKENS or i == len(batch):
+                    yield result(batch.slice(begin, i - begin), texts)
+                    texts, waiting, begin = [], 0, i
+
+    return rows.mapInArrow(work, T.StructType(fields))
+
+
+def stored_slots(column) -> list[np.ndarray]:
+    return [np.frombuffer(t.as_buffer(), np.int32) for t in column]
+
+
 def train(docs: DataFrame, words: Vocabulary, id_column: str = "doc_id", text_column: str = "text",
           sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, share: int = SHARE) -> Gru:
     """Warm up on at most sample_docs training documents and sample_words words, then one averaged round over all partitions."""
-    rows = _rows(docs, id_column, text_column).where("seen")
-    model = Gru(words)
+    found = look_up(docs, words, id_column, text_column).select("seen", "mark", "deal", "slots")
+    return train_on(cut_lineage(found), words, sample_docs, sample_words, share)
 
-    def slots(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(
-                [words.slots([split_words(t.as_py())]).slot.astype(np.int32).tobytes() for t in batch.column("text")], pa.binary())], names=["slots"])
 
+def train_on(found: DataFrame, words: Vocabulary, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, share: int = SHARE) -> Gru:
+    """As ``train``, from the stored rows of ``look_up``."""
+    rows = found.where("seen")
+    model = Gru(words)
     # the sample is made of the smallest hashes; ids and hashes are sorted, whole texts are not. It is stored before the
     # driver reads it, so that all partitions are searched at once
-    mark = F.xxhash64("id", "text")
-    chosen = rows.select(mark.alias("h")).distinct().orderBy("h").limit(sample_docs)
-    sample = rows.join(F.broadcast(chosen), mark == F.col("h")).select("text").mapInArrow(slots, "slots binary")
+    chosen = rows.select(F.col("mark").alias("h")).distinct().orderBy("h").limit(sample_docs)
+    sample = rows.join(F.broadcast(chosen), F.col("mark") == F.col("h")).select("slots")
     texts, held = [], 0
     for r in cut_lineage(sample).orderBy(F.xxhash64("slots"), "slots").toLocalIterator():
         texts.append(np.frombuffer(r["slots"], np.int32).astype(np.int64))
@@ -469,13 +552,9 @@ def train(docs: DataFrame, words: Vocabulary, id_column: str = "doc_id", text_co
             weight, seen, held = weight + held, [], 0
 
         for batch in batches:
-            texts, waiting = [], 0
-            for i, text in enumerate(batch.column("text"), 1):
-                texts.append(split_words(text.as_py()))
-                waiting += len(texts[-1]) + 1
-                if waiting > LOOK_UP_TOKENS or i == len(batch):
-                    seen += [t.astype(np.int32) for t in words.slots(texts).by_text()]
-                    held, texts, waiting = held + waiting, [], 0
+            for text in stored_slots(batch.column("slots")):
+                seen.append(text)
+                held += len(text)
                 if held > TRAIN_TOKENS:
                     learn()
         if seen:
@@ -485,11 +564,11 @@ def train(docs: DataFrame, words: Vocabulary, id_column: str = "doc_id", text_co
                 [pa.array(np.arange(size), pa.int32()), pa.array(model.flat().astype(np.float64) * weight), pa.array(np.full(size, float(weight)))],
                 names=["i", "v", "w"])
 
-    part = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
+    part = rows.where(F.pmod("deal", F.lit(share)) == 0).select("slots")
     mean = part.mapInArrow(local, "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v"))
-    found = mean.toPandas()
-    if len(found) == size:
-        model.put(found.sort_values("i")["v"].to_numpy())
+    averaged = mean.toPandas()
+    if len(averaged) == size:
+        model.put(averaged.sort_values("i")["v"].to_numpy())
     return model
 
 
@@ -503,61 +582,30 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     counts = cut_lineage(count_words(docs, id_column, text_column))
     free_shuffles(docs.sparkSession)
     words = vocabulary(counts)
-    model = train(docs, words, id_column, text_column)
-    rows = docs.select(F.col(id_column).alias("id"), in_training(id_column).alias("seen"),
-                       F.encode(text_of(text_column), "UTF-8").alias("text"))
-    scale = words.tokens + 0.5 * (words.types + 1)
-    base = np.log10((words.counts + 0.5) / scale)
-    tail = np.log10((words.counts + 0.5) / words.mass[words.head_class])
-    tail[:SLOTS] = 0
-    far, seen_words = np.log10(words.mass), words.counts > 0
-    long, real = T.LongType(), T.DoubleType()
-    other = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", long)]))
-    fields = [rows.schema["id"], rows.schema["seen"], *(T.StructField(c, long) for c in ("n_tokens", "n_known")),
-              *(T.StructField(c, real) for c in ("base", "score")), T.StructField("other", other)]
+    texts = cut_lineage(look_up(docs, words, id_column, text_column).withColumn("row", F.monotonically_increasing_id()))
+    model = train_on(texts, words)
+    kept = ("row", "id", "seen", "n_tokens", "n_known", "base")
+    rows = texts.select(*kept, "high", "slots")
+    fields = [*(rows.schema[c] for c in kept), T.StructField("score", T.DoubleType())]
 
     def work(batches):
-        from collections import Counter
-
-        def look_up(texts):
-            """Slots, counts and sums of each text, and its words outside the head."""
-            found = words.slots(texts)
-            others = [Counter() for _ in texts]
-            for word, text in zip(found.out, found.owner.tolist()):
-                others[text][word] += 1
-            inside = found.at >= 0
-            held = lambda values: found.sums(np.where(inside, values[found.at], 0))
-            high = held(tail) - np.bincount(found.owner, far[found.classes], len(texts))
-            slots = [t.astype(np.int32) for t in found.by_text()]
-            return slots, np.diff(found.edges), held(seen_words.astype(np.int64)), held(base), high, others
-
-        def result(part, groups):
-            slots, n, known, low, high, others = zip(*groups)
-            slots, others = [t for g in slots for t in g], [o for g in others for o in g]
-            edges = np.concatenate([[0], np.cumsum([len(o) for o in others])]).astype(np.int32)
-            flat = pa.StructArray.from_arrays(
-                [pa.array([w for o in others for w in o], pa.binary()), pa.array([k for o in others for k in o.values()], pa.int64())], names=["word", "n"])
-            return pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("seen"), pa.array(np.concatenate(n)), pa.array(np.concatenate(known)), pa.array(np.concatenate(low)),
-                 pa.array(model.scores(slots) / LN10 + np.concatenate(high)), pa.ListArray.from_arrays(pa.array(edges), flat)],
-                names=[f.name for f in fields])
+        def result(part):
+            logs = model.scores(stored_slots(part.column("slots"))) / LN10 + part.column("high").to_numpy()
+            return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(logs)], names=[f.name for f in fields])
 
         for batch in batches:
-            texts, waiting, groups, begin, held = [], 0, [], 0, 0
-            for i, text in enumerate(batch.column("text"), 1):
-                texts.append(split_words(text.as_py()))
-                waiting += len(texts[-1]) + 1
-                if waiting > LOOK_UP_TOKENS or i == len(batch):
-                    groups.append(look_up(texts))
-                    texts, waiting, held = [], 0, held + waiting
-                    if held > SCORE_TOKENS or i == len(batch):
-                        yield result(batch.slice(begin, i - begin), groups)
-                        groups, begin, held = [], i, 0
-
-    scored = cut_lineage(rows.mapInArrow(work, T.StructType(fields)).withColumn("row", F.monotonically_increasing_id()))
+            begin, held = 0, 0
+            for i, tokens in enumerate(batch.column("n_tokens").to_pylist(), 1):
+                held += tokens
+                if held > SCORE_TOKENS or i == len(batch):
+                    yield result(batch.slice(begin, i - begin))
+                    begin, held = i, 0
+
+    scored = cut_lineage(rows.mapInArrow(work, T.StructType(fields)))
     # words outside the head: their counts are looked up once per text and word
+    scale = words.tokens + 0.5 * (words.types + 1)
     known = counts.select(F.col("word").alias("key"), F.col("n").alias("c"))
-    pairs = scored.select("row", F.explode("other").alias("o")).select("row", F.col("o.word").alias("word"), F.col("o.n").alias("k"))
+    pairs = texts.select("row", F.explode("other").alias("o")).select("row", F.col("o.word").alias("word"), F.col("o.n").alias("k"))
     found = pairs.join(known, F.col("word") == F.col("key"), "left")
     count = F.coalesce("c", F.lit(0))
     sums = found.groupBy("row").agg(

@@ -1,8 +1,12 @@
 """The recurrent language model by value: base columns, total probability, gradients, lanes and awkward rows."""
 
 import math
+import platform
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -142,3 +146,41 @@ def test_base_columns_and_scores_of_awkward_rows(spark, monkeypatch):
     with_none_to_learn = spark.createDataFrame([(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
     for r in gru_lm.score(with_none_to_learn).collect():
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (True, 3, 0, 0) and math.isfinite(r["score"])
+
+
+def test_texts_are_split_for_counts_and_for_slots_only(spark):
+    ship_package(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(i, f"first{i % 7} second third{i} " * 5) for i in range(40)], "doc_id long, text string")
+    assert gru_lm.score(docs.mapInArrow(pass_on, docs.schema)).count() == 40
+    assert read.value == 80
+
+
+WINDOWS = """
+import resource
+import numpy as np
+from stallkeeper.llm import gru_lm
+
+head = {gru_lm.END: 0} | {f"w{i}".encode(): i + 1 for i in range(2500)}
+model = gru_lm.Gru(gru_lm.Vocabulary(9000, 2501, head, np.arange(2501, 0, -1.0), np.full(gru_lm.CLASSES, 9.0)))
+texts = [np.arange(k, k + 480) % 2000 for k in range(256)]
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+for run in (model.train, model.scores):
+    run(texts)
+    before = faults()
+    run(texts)
+    print((faults() - before) // 20)
+"""
+
+
+@pytest.mark.skipif(platform.libc_ver()[0] != "glibc", reason="only glibc is told to keep memory")
+def test_windows_use_the_memory_of_the_windows_before():
+    root = Path(gru_lm.__file__).resolve().parents[2]
+    out = subprocess.run([sys.executable, "-c", WINDOWS], cwd=root, capture_output=True, text=True, check=True).stdout
+    assert all(int(pages) < 100 for pages in out.split()), out  # of 4 KB, a window of 256 lanes
