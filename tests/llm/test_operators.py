@@ -249,6 +249,29 @@ def test_line_runs(spark, awkward, empty):
     assert line_dedup.line_report(awkward).count() == 13 and line_dedup.line_report(empty).count() == 0
 
 
+def test_suffix_array_and_common_prefixes(spark):
+    rng = np.random.default_rng(5)
+    texts = [[f"{x}" for x in rng.integers(0, 3, n)] for n in rng.integers(1, 40, 30)] + [["0"] * 70, ["0"] * 67, ["1", "0", "2"] * 25]
+    texts = [*texts, *texts[:4], ["2", "only here", "2", "0"]]
+    rows = [(str(d), d, i, bytes([3 - int(x)] if x.isdigit() else [9])) for d, text in enumerate(texts) for i, x in enumerate(text)]
+    lines = spark.createDataFrame(rows, "d string, t long, pos int, line binary")
+    suffixes, rounds = line_dedup.suffix_array(lines)
+    want = {}
+    for d, text in enumerate(texts):
+        for i, x in enumerate(text):
+            stretch = text[i : text.index("only here")] if "only here" in text[i:] else text[i:]
+            if x != "only here":
+                want[str(d), i] = [3 - int(y) for y in stretch]
+    order = sorted(want.values())
+    got = {(r["d"], r["pos"]): (r["rank"], r["left"]) for r in suffixes.collect()}
+    assert got == {k: (1 + order.index(v), len(v)) for k, v in want.items()}
+    assert len(rounds) == 7  # blocks of up to 64 lines: the longest stretches have 75
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    starts = [i for i in range(len(order)) if i == 0 or order[i] != order[i - 1]]
+    prefixes = {r["rank"]: (r["size"], r["lcp"]) for r in line_dedup.common_prefixes(suffixes, rounds).collect()}
+    assert prefixes == {i + 1: (order.count(order[i]), shared(order[i - 1], order[i]) if i else 0) for i in starts}
+
+
 def test_line_crf(spark, awkward, empty):
     ship_package(spark)
     good = [f"A plain sentence with number {i} in it.\nAnd another calm line follows here." for i in range(40)]
