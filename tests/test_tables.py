@@ -249,6 +249,29 @@ def test_lines_move_narrow(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("layer", ["gold", "repaired"])
+def test_items_move_without_hash_and_amounts(spark, tmp_path, layer):
+    m = drawn_market(spark, f"{tmp_path}/t")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def around(df, exchange):
+            return df._jdf.queryExecution().executedPlan().toString().partition(f"Exchange hashpartitioning({exchange}")
+
+        raw = around(m.clean["order_items"], "order_id")
+        assert "md5(" in raw[0] and raw[1] and "md5(" not in raw[2]
+        items = getattr(m, layer).fact_order_items
+        for key in ("product_id", "seller_id"):
+            named = around(items, key)
+            assert "AS net_gmv_cents" in named[0] and named[1] and "AS net_gmv_cents" not in named[2]
+        gold = getattr(m, layer)
+        whole = facts.named_items(gold.ordered_items, gold.dim_products, gold.dim_sellers)
+        assert whole.columns == items.columns
+        assert whole.exceptAll(items).count() == items.exceptAll(whole).count() == 0 < items.where("net_gmv_cents IS NOT NULL").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_model_queries_share_stored_units(spark, tmp_path):
     from stallkeeper.churn import features as ft
 
